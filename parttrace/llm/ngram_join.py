@@ -170,10 +170,12 @@ def ngram_jaccard(docs: DataFrame, id_column: str = "doc_id", n: int = 5, percen
     heads = C.stored(lone.join(classes, ["n", "digest"]).where("id = rep").select("id", "n", "prefix", "parts", "odd"), "heads")
     C.release(spark)
     place = heads.select("id", "n", F.posexplode("prefix").alias("place", "gram"))
-    # a list's leader is the member with the least hash: near copies agree on it in nearly all their lists
-    lists = place.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("leader"))).alias("lead"))
-    lists = C.stored(lists.where("members > 1").select("gram", "lead.leader"), "lists")
-    postings = C.stored(place.join(lists, "gram"), "postings")
+    # a list's leader is the member with the least id: near copies agree on it in nearly all their lists
+    lists = place.groupBy("gram").agg(F.min("id").alias("leader"), F.max("id").alias("other"))
+    lists = C.stored(lists.where("leader != other").select("gram", "leader"), "lists")
+    # most n-grams have no list; a filter of fixed size drops nearly all of them before the shuffle
+    shared = C.id_filter(lists.select("gram"))
+    postings = C.stored(C.maybe_in(place, "gram", shared).join(lists, "gram"), "postings")
     C.release(spark)
     side = heads.select("id", "n", "parts", "odd", F.lit(0).alias("place"))
     total = postings.count()
