@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
@@ -13,5 +15,34 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
-SQL: dict[str, str] = {}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import bpe
+
+    return bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import DigestIndex
+
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    out = index.add(table(spark, sf_dir, "documents"))
+    index.drop()  # this query's own index; what it returns no longer needs it
+    return out
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))[0]
+
+
+_OP9 = """
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, coalesce(doc_id = min(doc_id) OVER w, false) AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_byte_bpe, op9_exact_dedup, op10_mix_sources)}
+SQL: dict[str, str] = {"op9_exact_dedup": _OP9}
