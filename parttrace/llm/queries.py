@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .license_scan import TEMPLATES, bigrams, scan
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def _held_out(df: DataFrame, parts: int, part: int) -> DataFrame:
+    """Rows whose labels are never learned from: a fixed share by the checksum of doc_id."""
+    return df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False)))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    known = _held_out(table(spark, sf_dir, "labels").select("doc_id", "quality"), 3, 1).where("not held_out").drop("held_out")
+    return _held_out(quality(table(spark, sf_dir, "documents"), known), 3, 1).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    known = _held_out(table(spark, sf_dir, "labels").select("doc_id", "toxic"), 5, 0).where("not held_out").drop("held_out")
+    return _held_out(toxicity(table(spark, sf_dir, "documents"), known), 5, 0).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,6 +44,30 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import DigestIndex
 
@@ -44,5 +89,18 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, coa
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_byte_bpe, op9_exact_dedup, op10_mix_sources)}
-SQL: dict[str, str] = {"op9_exact_dedup": _OP9}
+_OP8 = f"""
+WITH idx(gram, license, size) AS (VALUES {", ".join(f"('{g}', '{n}', {len(b)})" for n, t in sorted(TEMPLATES.items()) for b in [bigrams(t)] for g in sorted(b))}),
+ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
+ws AS (SELECT doc_id, line, list_filter(string_split(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '') AS w FROM ln),
+gs AS (SELECT doc_id, line, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), k -> w[k] || ' ' || w[k + 1])) ELSE w END AS grams FROM ws),
+met AS (SELECT doc_id, line, own, license, size, count(*) AS common FROM (SELECT doc_id, line, len(grams) AS own, unnest(grams) AS gram FROM gs) JOIN idx USING (gram) GROUP BY ALL)
+SELECT doc_id, line::INT AS line, license, 2 * common::DOUBLE / (own + size) AS dice FROM met WHERE 200 * common >= 80 * (own + size)
+QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_ngram_jaccard_join, op2_quality, op3_toxicity, op4_byte_bpe, op5_extract_html, op6_token_counts, op7_embedding_dedup, op8_license_scan, op9_exact_dedup, op10_mix_sources)
+}
+SQL: dict[str, str] = {"op8_license_scan": _OP8, "op9_exact_dedup": _OP9}
