@@ -1,15 +1,68 @@
-"""The corpus pipeline: toxic documents go, then exact and near copies; the rest is mixed to target weights and encoded."""
+"""The corpus pipeline: toxic documents go, then exact and near copies; the rest is mixed to target weights and encoded.
+
+Each stage works on all that the one before it kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parttrace.llm import common
+from parttrace.llm.bpe import bpe
+from parttrace.llm.exact_dedup import DigestIndex
+from parttrace.llm.mixing import mix
+from parttrace.llm.ngram_join import ngram_jaccard
+from parttrace.llm.toxicity import toxicity
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on all labels of the corpus, doesn't take for toxic."""
+    found = toxicity(docs, common.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return docs.join(found.where("predicted = 1").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the least id."""
+    index = DigestIndex(spark, f"digest_index_{common.uuid.uuid4().hex}")
+    found = index.add(docs)
+    index.drop()
+    return docs.join(found.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by five-word n-grams at a similarity of 0.8 or more the document with the least id."""
+    found = ngram_jaccard(docs)
+    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes their words: whole times, and once more with the chance of what is left.
+
+    That chance is drawn from the id, so reruns agree. Texts without words take no part in the mix and go.
+    """
+    taken, _ = mix(docs)
+    times = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) / 1_000_000
+    times = (F.floor(times) + (draw < times - F.floor(times)).cast("long")).cast("int")
+    copies = taken.where("doc_id is not null").select("doc_id", times.alias("_times")).where("_times > 0").dropDuplicates(["doc_id"])
+    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix, and the digests of ids and decoded bytes."""
+    return bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
-STAGES: list = []
+STAGES = [("toxicity", remove_toxic), ("exact_dedup", remove_copies), ("ngram_jaccard_join", remove_near_copies), ("mixing", mix_sources), ("byte_bpe", encode)]
+#: The first stage has no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``, each written and read again before the next."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
