@@ -56,10 +56,11 @@ def scan(docs: DataFrame, id_column: str = "doc_id", percent: int = 80, template
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text")).select("id", "row", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     words = F.filter(F.split(F.regexp_replace(F.translate("raw", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    lines = lines.select("id", "row", "line", words.alias("w")).where(F.size("w") >= max(1, least))
+    # explode of a single value keeps an expression from being evaluated again wherever its value is used
+    lines = lines.select("id", "row", "line", F.explode(F.array(words)).alias("w")).where(F.size("w") >= max(1, least))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda k: F.concat(F.get("w", k - 1), F.lit(" "), F.get("w", k)))
     grams = F.array_distinct(F.when(F.size("w") > 1, pairs).otherwise(F.col("w")))
-    lines = lines.select("id", "row", "line", grams.alias("grams")).withColumn("own", F.size("grams")).where(F.col("own").between(least, most))
+    lines = lines.select("id", "row", "line", F.explode(F.array(grams)).alias("grams")).withColumn("own", F.size("grams")).where(F.col("own").between(least, most))
     met = lines.select("id", "row", "line", "own", F.explode("grams").alias("gram")).join(F.broadcast(index), "gram")
     met = met.where(_bounds(percent)).groupBy("id", "row", "line", "own", "license", "size").agg(F.count(F.lit(1)).alias("common"))
     met = met.where(200 * F.col("common") >= percent * (F.col("own") + F.col("size")))

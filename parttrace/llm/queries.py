@@ -92,8 +92,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 _OP8 = f"""
 WITH idx(gram, license, size) AS (VALUES {", ".join(f"('{g}', '{n}', {len(b)})" for n, t in sorted(TEMPLATES.items()) for b in [bigrams(t)] for g in sorted(b))}),
 ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
-ws AS (SELECT doc_id, line, list_filter(string_split(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '') AS w FROM ln),
-gs AS (SELECT doc_id, line, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), k -> w[k] || ' ' || w[k + 1])) ELSE w END AS grams FROM ws),
+ws AS (SELECT doc_id, line, list_filter(string_split(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM ln),
+gs AS (SELECT doc_id, line, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) ELSE w END AS grams FROM ws),
 met AS (SELECT doc_id, line, own, license, size, count(*) AS common FROM (SELECT doc_id, line, len(grams) AS own, unnest(grams) AS gram FROM gs) JOIN idx USING (gram) GROUP BY ALL)
 SELECT doc_id, line::INT AS line, license, 2 * common::DOUBLE / (own + size) AS dice FROM met WHERE 200 * common >= 80 * (own + size)
 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1
