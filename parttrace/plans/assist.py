@@ -1,0 +1,76 @@
+"""Optional help with unresolved columns from an outside service, through a client that the caller passes in.
+
+Only headers and counts leave: never a value. A client is a function from the request (a dictionary) to a list of
+{"field", "column", "confidence"}; nothing here reaches a network.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from collections.abc import Callable
+
+from ..errors import SchemaError
+from ..operators import mapping, profile
+from ..operators.records import FIELDS
+from ..sources.manifest import Manifest
+
+LEAST_CONFIDENCE = 0.75
+
+
+def request(m: Manifest, current: mapping.Mapping) -> dict:
+    """What a service is told of a manifest: headers, exact counts and abstract flags."""
+    profiled = profile.profile(m.rows, m.headers)
+    flags = {r["column"]: {k: v for k, v in r.asDict().items() if k != "column" and v} for r in profile.flags(profiled).collect()}
+    counts = {r["column"]: r for r in profiled.collect()}
+    columns = [{"header": h, "present": counts[h]["n_present"], "missing": counts[h]["n_missing"], "distinct": counts[h]["n_distinct"], "distinct_ratio": counts[h]["distinct_ratio"], "flags": sorted(flags[h])} for h in m.headers]
+    return {"columns": columns, "unresolved": current.unresolved, "protected": current.columns}
+
+
+def request_digest(body: dict) -> str:
+    return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def validate(proposal: list[dict], m: Manifest, current: mapping.Mapping) -> tuple[dict[str, tuple[str, float]], list[str]]:
+    """(accepted field: column, confidence; refusal codes)."""
+    accepted: dict[str, tuple[str, float]] = {}
+    refused = []
+    for entry in proposal:
+        f, column, confidence = entry.get("field"), entry.get("column"), entry.get("confidence", 0)
+        if f not in FIELDS:
+            code = "unsupported_field"
+        elif f in accepted:
+            code = "duplicate_field"
+        elif f in current.columns:
+            code = "protected_field"
+        elif not column:
+            code = "column_missing"
+        elif column not in m.headers:
+            code = "column_absent"
+        elif confidence < LEAST_CONFIDENCE:
+            code = "low_confidence"
+        elif column in current.columns.values() or column in {c for c, _ in accepted.values()}:
+            code = "column_reused"
+        else:
+            accepted[f] = (column, float(confidence))
+            continue
+        refused.append(f"{f}: {code}")
+    return accepted, refused
+
+
+def assist(m: Manifest, current: mapping.Mapping, client: Callable[[dict], list[dict]]) -> mapping.Mapping:
+    """The mapping with accepted proposals; without help it stands if a record still has an image or an id."""
+    if not current.unresolved:
+        return current
+    try:
+        accepted, refused = validate(client(request(m, current)), m, current)
+    except (OSError, ValueError, TimeoutError) as e:
+        if current.covered:
+            current.messages.append(f"schema assistance failed: {type(e).__name__}")
+            return current
+        raise SchemaError("schema assistance failed and no image_path or source_record_id is resolved") from e
+    choices = dict(current.choices) | {f: mapping.Choice(c, "assisted", s) for f, (c, s) in accepted.items()}
+    out = mapping.Mapping(choices, [*current.messages, *refused])
+    if not out.covered:
+        raise SchemaError("neither image_path nor source_record_id could be resolved")
+    return out
