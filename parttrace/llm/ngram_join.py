@@ -9,6 +9,8 @@ one leader (rows: one per posting), which links groups of near copies, for a few
 members that are still outside their list's main component meet the rest of their list. Every pair that could link and is not yet connected is verified, so
 components are exact, though no group's pairs are all made.
 
+Sides that grow with the corpus are merged, never broadcast, so that the plan is the same at every size.
+
 Null or empty texts, or texts without words, have an empty set (size 0) and link with nothing. A text with fewer words
 than n is one n-gram. A row without id links with copies of its text only. Repeated rows are returned as often as they
 occur. Extra columns are ignored.
@@ -124,7 +126,7 @@ def verified(pairs: DataFrame, texts: DataFrame, id_column: str, n: int, percent
     wanted = C.id_filter(pairs.select("a").union(pairs.select("b")))
     source = texts.select(F.col(id_column).cast("long").alias("id"), "text")
     own = C.stored(C.maybe_in(source, "id", wanted), "texts")
-    both = pairs.join(own.toDF("b", "tb"), "b").join(own.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+    both = pairs.join(own.toDF("b", "tb").hint("merge"), "b").join(own.toDF("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb")
 
     def check(batches):
         import pyarrow as pa
@@ -167,7 +169,7 @@ def ngram_jaccard(docs: DataFrame, id_column: str = "doc_id", n: int = 5, percen
     described = C.stored(describe(texts, id_column, n, percent), "sets")
     classes = C.stored(described.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep")), "classes")
     lone = described.where("n > 0").select("id", "n", "digest", "prefix", "parts", "odd")
-    heads = C.stored(lone.join(classes, ["n", "digest"]).where("id = rep").select("id", "n", "prefix", "parts", "odd"), "heads")
+    heads = C.stored(lone.join(classes.hint("merge"), ["n", "digest"]).where("id = rep").select("id", "n", "prefix", "parts", "odd"), "heads")
     C.release(spark)
     place = heads.select("id", "n", F.posexplode("prefix").alias("place", "gram"))
     # a list's leader is the member with the least id: near copies agree on it in nearly all their lists
@@ -185,8 +187,8 @@ def ngram_jaccard(docs: DataFrame, id_column: str = "doc_id", n: int = 5, percen
     turn, last = 1, total == 0
     while not last:
         if turn > 1:
-            known = postings.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            known = known.join(final.toDF("leader", "lc"), "leader", "left").withColumn("outside", F.col("component") != F.coalesce("lc", "leader")).drop("lc")
+            known = postings.join(final.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+            known = known.join(final.toDF("leader", "lc").hint("merge"), "leader", "left").withColumn("outside", F.col("component") != F.coalesce("lc", "leader")).drop("lc")
             known = C.stored(known, "known")
             sizes = known.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.count_if("outside").alias("o"))
             last = turn > TURNS or (sizes.agg(F.sum(F.col("m") * F.col("o"))).first()[0] or 0) <= FEW * total
@@ -196,9 +198,9 @@ def ngram_jaccard(docs: DataFrame, id_column: str = "doc_id", n: int = 5, percen
                 near = F.struct(F.xxhash64("id", "gram", F.lit(turn)).alias("h"), F.col("id").alias("to"), F.col("component").alias("tc"))
                 lead = known.where("outside").groupBy("gram").agg(F.min(near).alias("lead")).select("gram", "lead.to", "lead.tc")
             pairs = known.join(lead, "gram").where("component != tc").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
-            pairs = pairs.join(side.alias("x"), F.col("a") == F.col("x.id")).join(side.alias("y"), F.col("b") == F.col("y.id")).where(_possible(percent)).select("a", "b")
+            pairs = pairs.join(side.hint("merge").alias("x"), F.col("a") == F.col("x.id")).join(side.hint("merge").alias("y"), F.col("b") == F.col("y.id")).where(_possible(percent)).select("a", "b")
         else:
-            rest = known.join(known.where("outside").select("gram").distinct(), "gram", "left_semi").join(heads.select("id", "parts", "odd"), "id")
+            rest = known.join(known.where("outside").select("gram").distinct(), "gram", "left_semi").join(heads.select("id", "parts", "odd").hint("merge"), "id")
             rest = C.stored(rest, "rest")
             x, y = rest.where("outside").alias("x"), rest.alias("y")
             met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & _possible(percent))
@@ -218,6 +220,6 @@ def ngram_jaccard(docs: DataFrame, id_column: str = "doc_id", n: int = 5, percen
     named = C.stored(classes.join(final.toDF("rep", "component"), "rep", "left").select("n", "digest", F.coalesce("component", "rep").alias("component")), "named")
     return (
         described.select("id", "n", "digest")
-        .join(named, ["n", "digest"], "left")
+        .join(named.hint("merge"), ["n", "digest"], "left")
         .select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     )
