@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..errors import ConfigError
 from ..operators import detect, graph, mapping, policy, records, repair
 from ..session import settled
-from ..sources import images, manifest
+from ..sources import images as pictures
+from ..sources import manifest
 from . import report as R
 
 COLUMN_OPTIONS = {"patient_column": "patient_id", "specimen_column": "specimen_id", "slide_column": "slide_id", "image_column": "image_path", "institution_column": "institution_id", "label_column": "class_label", "record_id_column": "source_record_id"}
@@ -34,7 +35,7 @@ class Config:
     max_image_pairs: int = detect.MAX_PAIRS
     phash_threshold: int = detect.PHASH_LIMIT
     dhash_threshold: int = detect.DHASH_LIMIT
-    image_max_pixels: int = images.MAX_PIXELS
+    image_max_pixels: int = pictures.MAX_PIXELS
     schema_map: str | None = None
     columns: dict[str, str] = field(default_factory=dict)
 
@@ -81,7 +82,7 @@ def run(spark: SparkSession, config: Config, client=None) -> Result:
     built = [records.build(m.rows, k.columns, m.partition, m.manifest_id, m.columns) for m, k in zip(sides, maps, strict=True)]
     both = built[0].union(built[1])
     rec = settled(both.records)
-    prints = images.fingerprints(rec, config.images, config.image_max_pixels)
+    prints = pictures.fingerprints(rec, config.images, config.image_max_pixels)
     prints = settled(prints) if prints is not None else None
     found = detect.all_findings(rec, both.conflicts, prints, config.max_image_pairs, config.phash_threshold, config.dhash_threshold)
     found = detect.Findings(settled(found.findings), settled(found.members))
@@ -99,7 +100,7 @@ def run(spark: SparkSession, config: Config, client=None) -> Result:
         "exit_code": totals["exit_code"],
         "inputs": [{"manifest_id": m.manifest_id, "partition": m.partition, "path": m.path, "sha256": m.sha256, "row_count": m.row_count, "encoding": m.encoding, "newline": m.newline, "headers": m.headers} for m in sides],
         "mapping": {m.partition: {f: asdict(c) for f, c in k.choices.items()} for m, k in zip(sides, maps, strict=True)},
-        "summary": {k: v for k, v in totals.items() if k != "exit_code"} | {"records": rec.count(), "conflicts": both.conflicts.count(), "findings_by_type": by_type, "edges_by_type": {r[0]: r[1] for r in graph.edge_counts(found.findings).collect()}, "largest_component": graph.largest_component(found.findings, found.members)} | (images.collection(prints).first().asDict() if prints is not None else {}),
+        "summary": {k: v for k, v in totals.items() if k != "exit_code"} | {"records": rec.count(), "conflicts": both.conflicts.count(), "findings_by_type": by_type, "edges_by_type": {r[0]: r[1] for r in graph.edge_counts(found.findings).collect()}, "largest_component": graph.largest_component(found.findings, found.members)} | (pictures.collection(prints).first().asDict() if prints is not None else {}),
         "findings": [r.asDict() for r in rows.orderBy("finding_id").collect()],
         "repair": None if fixed is None else {"included": fixed.included, "excluded": fixed.excluded, "metrics": fixed.metrics, "tradeoffs": fixed.tradeoffs},
         "warnings": warned,

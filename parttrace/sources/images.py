@@ -173,7 +173,7 @@ def fingerprint(content: bytes, max_pixels: int = MAX_PIXELS, decoder=decode) ->
 def fingerprints(records: DataFrame, root: str | None, max_pixels: int = MAX_PIXELS, decoder=decode) -> DataFrame | None:
     """Fingerprints of the records' images below a root; None without one.
 
-    Paths are taken below the root, with / for \; those that leave it are outside_root and never opened.
+    Paths are taken below the root, with / for a backslash; those that leave it are outside_root and never opened.
     """
     if root is None:
         return None
