@@ -39,16 +39,16 @@ CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot div section article main aside nav header footer body form blockquote td th figure".split())
 
 # Classifier weights: of an ancestor's tag, of a word in an ancestor's class, id or role, and of the block itself.
-TAG_WEIGHTS = {"article": 4.0, "main": 3.0, "nav": -8.0, "aside": -8.0, "footer": -8.0, "header": -4.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "fieldset": -6.0, "address": -1.5, "blockquote": 0.5, "figure": 0.5}
+TAG_WEIGHTS = {"article": 4.0, "main": 3.0, "nav": -14.0, "aside": -14.0, "footer": -14.0, "header": -4.0, "form": -14.0, "menu": -14.0, "dialog": -14.0, "fieldset": -10.0, "address": -1.5, "blockquote": 0.5, "figure": 0.5}
 WORD_WEIGHTS = {
     **dict.fromkeys("article story post entry content main body text articlebody".split(), 1.5),
-    **dict.fromkeys("ad ads adv advert advertisement advertising adbox banner promo promotion sponsor sponsored sponsors".split(), -9.0),
-    **dict.fromkeys("cookie cookies consent gdpr notice alert popup modal overlay disclaimer paywall toast".split(), -9.0),
-    **dict.fromkeys("comment comments reply replies discussion disqus respond reader".split(), -9.0),
-    **dict.fromkeys("nav navbar navigation menu breadcrumb breadcrumbs toolbar topbar pagination pager tabs sitemap".split(), -8.0),
-    **dict.fromkeys("sidebar aside rail related recommended recommendations trending popular more widget".split(), -8.0),
-    **dict.fromkeys("footer foot copyright legal masthead".split(), -8.0),
-    **dict.fromkeys("share sharing social subscribe subscription newsletter signup login search form tags".split(), -8.0),
+    **dict.fromkeys("ad ads adv advert advertisement advertising adbox banner promo promotion sponsor sponsored sponsors".split(), -14.0),
+    **dict.fromkeys("cookie cookies consent gdpr notice alert popup modal overlay disclaimer paywall toast".split(), -14.0),
+    **dict.fromkeys("comment comments reply replies discussion disqus respond reader".split(), -14.0),
+    **dict.fromkeys("nav navbar navigation menu breadcrumb breadcrumbs toolbar topbar pagination pager tabs sitemap".split(), -14.0),
+    **dict.fromkeys("sidebar aside rail related recommended recommendations trending popular widget".split(), -14.0),
+    **dict.fromkeys("footer foot copyright legal masthead".split(), -14.0),
+    **dict.fromkeys("share sharing social subscribe subscription newsletter signup login search form tags".split(), -14.0),
 }
 HEADER_WORDS = dict.fromkeys("header head banner".split(), -4.0)
 SMOOTH_NEXT, SMOOTH_SIBLING = 0.8, 0.8
@@ -73,11 +73,11 @@ def _weight(tag: str, attributes: str, inside: bool) -> float:
         cost = -1.0
     if attributes and "=" in attributes or "hidden" in attributes:
         words = _words(attributes)
-        if words and tag not in ("html", "body"):
+        if words and tag not in ("html", "body", "article", "main"):
             low = min((WORD_WEIGHTS.get(w, HEADER_WORDS.get(w, 0.0) if not inside else 0.0) for w in words), default=0.0)
             cost += low if low < 0 else max(WORD_WEIGHTS.get(w, 0.0) for w in words)
         if _HIDDEN.search(attributes):
-            cost -= 9.0
+            cost -= 14.0
     return cost
 
 
