@@ -265,10 +265,12 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
 
 def fitted(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id") -> Network | None:
     """The network trained on the bounded sample; ``labelled``: ids and their label ``toxic``."""
-    rows = docs.select(F.col(id_column), F.col("text").cast("string").alias("text")).join(labelled.where("toxic is not null").select(id_column, F.col("toxic").cast("int").alias("toxic")), id_column)
-    rows = rows.where("text is not null").withColumn("h", F.xxhash64(id_column))
-    rows = rows.select("toxic", "h", F.substring_index(F.substring("text", 1, 20 * SAMPLE_WORDS), " ", SAMPLE_WORDS).alias("text"))
-    got = [r for label in (0, 1) for r in rows.where(F.col("toxic") == label).orderBy("h", "text").limit(SAMPLE).collect()]
+    labels = labelled.where("toxic is not null").select(F.col(id_column).alias("lid"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    chosen = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64("lid"), "lid").limit(SAMPLE) for y in (0, 1)]
+    # at most 2 * SAMPLE ids are broadcast, and only their texts leave the scan
+    rows = docs.select(F.col(id_column).alias("lid"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen[0].union(chosen[1])), "lid")
+    got = rows.select("toxic", "lid", F.substring_index(F.substring("text", 1, 20 * SAMPLE_WORDS), " ", SAMPLE_WORDS).alias("text")).collect()
+    got.sort(key=lambda r: (r["toxic"], str(r["lid"]), r["text"]))
     toxic = np.array([r["toxic"] for r in got])
     return train([r["text"] for r in got], toxic) if len(set(toxic.tolist())) == 2 else None
 
