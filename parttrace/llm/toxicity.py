@@ -22,6 +22,8 @@ SAMPLE, SAMPLE_WORDS = 2500, 1500
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS, MET = 8, 8, 8, 1 << 14, 3
 ROUNDS, EPOCHS = 4, 3
+#: Steps of each round at least, so that small samples are learned too.
+LEAST_STEPS = 40
 
 
 class Words:
@@ -232,7 +234,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
         pick = order[rank < np.where(toxic[text[order]] == 1, 1 if turn_of else 2, 3)]
         clean = np.flatnonzero(toxic[text] == 0)
         pick = np.union1d(pick, rng.choice(clean, min(len(clean), 2 * n), replace=False))
-        for epoch in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS // -(-len(pick) // 512)))):
             rng.shuffle(pick)
             for k in range(0, len(pick), 512):
                 some = pick[k : k + 512]
