@@ -8,13 +8,21 @@ its best template (of equal ones the first by name).
 
 Null and empty texts and lines without letters or digits match nothing. Long lines beyond every template's bound
 are only measured. Repeated rows give repeated results. Extra columns are ignored; a null id is carried through.
+
+``passages`` looks at whole texts instead: the words of a text are one sequence, across line breaks and comment marks.
+A window of it, from one bigram of a template to another, has c of the template's b bigrams and u places whose bigram
+isn't the template's; its Dice coefficient is 2c / (c + u + b). Of the windows from each place where a run of the
+template's bigrams starts (or its first bigram stands) the best is taken, and of overlapping ones that with the greatest
+2c - u - b (then the higher coefficient, the template first by name, the earlier place). Templates are the statements
+above and the whole texts and notices in the folder ``licenses``; those of a single word are not found.
 """
 
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Public licence statements and the sentences that identify licence texts.
@@ -40,9 +48,22 @@ TEMPLATES = {
 }
 
 
+def texts() -> dict[str, str]:
+    """``TEMPLATES`` and the whole licence texts and notices."""
+    return TEMPLATES | {f"{p.stem}-full": p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
+def _split(text: str) -> list[str]:
+    return re.sub(r"[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).split()
+
+
+def _words(raw: str) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
 def bigrams(text: str) -> set[str]:
     """The template side of the normal form."""
-    w = re.sub(r"[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).split()
+    w = _split(text)
     return {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)} or set(w)
 
 
@@ -55,9 +76,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", percent: int = 80, template
     index = spark.createDataFrame([(g, n, len(known[n])) for n in sorted(known) for g in sorted(known[n])], "gram string, license string, size int")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text")).select("id", "row", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    words = F.filter(F.split(F.regexp_replace(F.translate("raw", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
     # explode of a single value keeps an expression from being evaluated again wherever its value is used
-    lines = lines.select("id", "row", "line", F.explode(F.array(words)).alias("w")).where(F.size("w") >= max(1, least))
+    lines = lines.select("id", "row", "line", F.explode(F.array(_words("raw"))).alias("w")).where(F.size("w") >= max(1, least))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda k: F.concat(F.get("w", k - 1), F.lit(" "), F.get("w", k)))
     grams = F.array_distinct(F.when(F.size("w") > 1, pairs).otherwise(F.col("w")))
     lines = lines.select("id", "row", "line", F.explode(F.array(grams)).alias("grams")).withColumn("own", F.size("grams")).where(F.col("own").between(least, most))
@@ -72,3 +92,43 @@ def scan(docs: DataFrame, id_column: str = "doc_id", percent: int = 80, template
 def _bounds(percent: int) -> Column:
     a, b = F.col("own"), F.col("size")
     return (a * (200 - percent) >= b * percent) & (a * percent <= b * (200 - percent))
+
+
+def passages(docs: DataFrame, id_column: str = "doc_id", percent: int = 80, templates: dict[str, str] | None = None) -> DataFrame:
+    """Per passage of a whole text: id, first_word, last_word (from 0), license, dice. No two passages of a text overlap."""
+    index = []
+    for name, t in sorted((texts() if templates is None else templates).items()):
+        w = _split(t)
+        places = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        size = len(set(places))
+        # bigrams a window has at least, and places it spans at most
+        index += [(g, name, k, size, -(-size * percent // (200 - percent)), len(places) * (200 - percent) // percent) for k, g in enumerate(dict.fromkeys(places))]
+    index = docs.sparkSession.createDataFrame(index, "gram string, license string, nr int, size int, need int, span int")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    own = own.select("id", "row", F.explode(F.array(_words("text"))).alias("w")).where(F.size("w") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.concat(F.get("w", k - 1), F.lit(" "), F.get("w", k)))
+    met = own.select("id", "row", F.size("w").alias("words"), F.posexplode(pairs).alias("at", "gram")).join(F.broadcast(index), "gram").where("words > need")
+    before = F.lag("at").over(Window.partitionBy("row", "license", "nr").orderBy("at"))
+    met = met.repartition("row", "license").withColumn("before", F.coalesce(before, F.lit(-1)))
+    one = met.groupBy("row", "license").agg(F.first("id").alias("id"), F.first("size").alias("size"), F.first("need").alias("need"), F.first("span").alias("span"), F.array_sort(F.collect_list(F.struct("at", "before", "nr"))).alias("hits"))
+    one = one.where("size(hits) >= need")
+    at = lambda k: F.get("hits", k)["at"]
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("hits") - F.col("need")),
+        lambda k: (at(k + F.col("need") - 1) - at(k) < F.col("span")) & ((k == 0) | (at(k - 1) < at(k) - 1) | (F.get("hits", k)["nr"] == 0)),
+    )
+    one = one.select("row", "license", "id", "size", "span", "hits", F.explode(starts).alias("k"))
+    one = one.withColumn("s", at(F.col("k"))).withColumn("hits", F.expr("filter(slice(hits, k + 1, span), h -> h.at - s < span)"))
+    # c: bigrams met so far, n: hits so far; the best window so far is kept as (dice, c, u, last place)
+    best = F.expr(f"""aggregate(hits, named_struct('c', 0, 'n', 0, 'dice', 0D, 'gain', 0, 'e', -1), (a, h) ->
+        transform(array(named_struct('c', a.c + int(h.before < s), 'n', a.n + 1)), x ->
+            transform(array(h.at - s + 1 - x.n), u ->
+                if(200 * x.c >= {int(percent)} * (x.c + u + size) AND 2D * x.c / (x.c + u + size) >= a.dice,
+                   named_struct('c', x.c, 'n', x.n, 'dice', 2D * x.c / (x.c + u + size), 'gain', 2 * x.c - u - size, 'e', h.at),
+                   named_struct('c', x.c, 'n', x.n, 'dice', a.dice, 'gain', a.gain, 'e', a.e)))[0])[0])""")
+    found = one.select("row", "id", "license", "s", best.alias("b")).where("b.e >= 0")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("b.gain")).alias("loss"), (-F.col("b.dice")).alias("far"), "license", F.col("s").alias("first_word"), (F.col("b.e") + 1).alias("last_word"))))
+    kept = F.expr("aggregate(ranked, slice(ranked, 1, 0), (a, p) -> if(exists(a, q -> q.first_word <= p.last_word AND p.first_word <= q.last_word), a, array_append(a, p)))")
+    out = found.groupBy("row").agg(F.first("id").alias("id"), ranked.alias("ranked")).select("id", F.explode(kept).alias("p"))
+    return out.select(F.col("id").alias(id_column), "p.first_word", "p.last_word", "p.license", (-F.col("p.far")).alias("dice"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .license_scan import TEMPLATES, bigrams, scan
+from .license_scan import TEMPLATES, bigrams, passages, scan
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op8_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import DigestIndex
 
@@ -101,6 +105,6 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_quality, op3_toxicity, op4_byte_bpe, op5_extract_html, op6_token_counts, op7_embedding_dedup, op8_license_scan, op9_exact_dedup, op10_mix_sources)
+    for f in (op1_ngram_jaccard_join, op2_quality, op3_toxicity, op4_byte_bpe, op5_extract_html, op6_token_counts, op7_embedding_dedup, op8_license_scan, op8_license_passages, op9_exact_dedup, op10_mix_sources)
 }
 SQL: dict[str, str] = {"op8_license_scan": _OP8, "op9_exact_dedup": _OP9}

@@ -296,6 +296,31 @@ def test_licenses(spark):
     assert {(r["doc_id"], r["line"], r["license"], round(r["dice"], 9)) for r in got} == expected and len(expected) >= 3
 
 
+def test_license_passages(spark):
+    from parttrace.llm.license_scan import TEMPLATES, passages, texts
+
+    full = texts()
+    mit = "MIT License\n\nCopyright (c) 2020 A\n\n" + "\n".join(" * " + x for x in full["mit-full"].split("\n"))
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n" + full["gpl-3-notice-full"][full["gpl-3-notice-full"].index("This program is distributed") :]
+    bsd = TEMPLATES["bsd"].replace(" with or ", "\n// with or ").replace(" provided ", "\n// provided ")
+    notice = "This tool was written by A in 2020 and is free. Released under the MIT License."
+    prose = " ".join(sentences(12, 40))
+    rows = [(20, mit, "s"), (21, gpl, "s"), (22, bsd, "s"), (23, notice, "s"), (24, prose + " " + notice + " " + prose + " " + notice, "s"), (25, prose + "\n" + full["gpl-3-full"] + "\n" + prose, "s"), (26, prose, "s"), (27, TEMPLATES["gpl-2.0"] + " " + TEMPLATES["gpl-3.0"], "s"), *ODD]
+    got = {}
+    for r in passages(frame(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["first_word"], r["last_word"], r["license"], round(r["dice"], 6)))
+    words = lambda t: len(re.findall("[a-z0-9]+", t.lower()))
+    assert got.pop(20) == [(6, 5 + words(full["mit-full"]), "mit-full", 1.0)]
+    assert [x[2] for x in got.pop(21)] == ["gpl-3-notice-full"]
+    assert got.pop(22) == [(0, words(bsd) - 1, "bsd", 1.0)]
+    assert got.pop(23) == [(11, 15, "mit", 1.0)]
+    n = words(prose)
+    assert sorted(got.pop(24)) == [(n + 11, n + 15, "mit", 1.0), (2 * n + 27, 2 * n + 31, "mit", 1.0)]
+    assert got.pop(25) == [(n, n + words(full["gpl-3-full"]) - 1, "gpl-3-full", 1.0)]
+    assert [x[2:] for x in sorted(got.pop(27))] == [("gpl-2.0", 1.0), ("gpl-3.0", 1.0)]
+    assert not got
+
+
 def test_digest_index(spark):
     from parttrace.llm.exact_dedup import DigestIndex
 
