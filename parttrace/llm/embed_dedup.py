@@ -1,9 +1,10 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Reference points (``PIVOTS`` vectors, those with the least hashed ids: the only sample) order the space: each distinct
-vector is described by its ``NEAREST`` reference points, nearest first. Inverted lists hold, for each label and
-reference point, the vectors that have it among theirs; vectors that share ``SHARED`` reference points or more are
-candidates and are verified by cosine in double precision. Lists longer than ``BLOCK`` are dealt into blocks and pairs
+Reference points order the space: ``PIVOTS`` vectors of a bounded sample (those with the least hashed ids), chosen one
+after the other, each farthest from those before it, so that a cluster of near copies has few of them however many
+vectors it holds. Each distinct vector is described by its ``NEAREST`` reference points, nearest first. Inverted lists
+hold, for each label and reference point, the vectors that have it among theirs; vectors that share ``SHARED`` reference
+points or more, or their nearest one, are candidates and are verified by cosine in double precision. Lists longer than ``BLOCK`` are dealt into blocks and pairs
 of blocks, each a task of bounded size; a pair is counted in the list of its first shared reference point only. A block
 gives each vector's number of links and one edge to its block component, never the pairs.
 
@@ -22,6 +23,18 @@ from pyspark.sql import functions as F
 from . import common as C
 
 PIVOTS, NEAREST, SHARED, BLOCK = 192, 12, 3, 1024
+#: Vectors, and components of them, that reference points are chosen from at most.
+SAMPLE, SAMPLE_SIZE = 4096, 1 << 19
+
+
+def _spread(sample: np.ndarray) -> np.ndarray:
+    """Unit vectors of ``sample``, each farthest from those before it; the first ``PIVOTS``."""
+    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(PIVOTS, len(x)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
 
 
 def _described(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -56,7 +69,8 @@ def _block_links(pdf, threshold: float):
     shared = has[a] @ has[b].T
     earlier = has[a][:, :pivot] @ has[b][:, :pivot].T  # such pairs belong to an earlier list
     need = min(SHARED, near.shape[1])
-    link = (shared >= need) & (earlier == 0) & (x[a] @ x[b].T >= threshold)
+    same = near[a][:, :1] == near[b][:, 0]  # pairs with one nearest reference point, such as those of a large cluster
+    link = ((shared >= need) | same) & (earlier == 0) & (x[a] @ x[b].T >= threshold)
     if i == j:
         np.fill_diagonal(link, False)
     count = np.zeros(len(x), np.int64)
@@ -94,8 +108,8 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     links = None
     for (d,) in sorted(heads.select("d").distinct().limit(64).collect()):  # vectors of other lengths don't compare
         some = heads.where(F.col("d") == d)
-        sample = np.array([r["v"] for r in some.orderBy(F.xxhash64("cid"), "cid").limit(PIVOTS).select("v").collect()], float)
-        pivots = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        sample = some.orderBy(F.xxhash64("cid"), "cid").limit(min(SAMPLE, max(PIVOTS, SAMPLE_SIZE // d)))
+        pivots = _spread(np.array([r["v"] for r in sample.select("v").collect()], float))
         index = C.stored(_described(some, pivots).join(some.select("cid", "label", "weight"), "cid").withColumn("pivot", F.explode("near")), "index")
         lists = C.stored(index.groupBy("label", "pivot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "lists")
         dealt = index.join(lists.drop("n"), ["label", "pivot"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))

@@ -281,6 +281,22 @@ def test_embeddings(spark, monkeypatch):
     assert E.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.1, 0.2, 0.26])
+def test_embeddings_hot_third(spark, noise):
+    """Recall against all pairs when one group of near copies holds a third of the vectors."""
+    from parttrace.llm import embed_dedup as E
+
+    rng = np.random.default_rng(int(noise * 100))
+    x = rng.standard_normal((4500, 64)) / 8
+    x[:1500] = x[0] + noise * rng.standard_normal((1500, 64)) / 8
+    x[1500:2500] = x[3500:] + 0.2 * rng.standard_normal((1000, 64)) / 8
+    got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.93).sum(1) - 1
+    count = np.array([got[k] for k in range(len(x))])
+    assert (count <= true).all() and count.sum() >= 0.97 * true.sum() and count[1500:].sum() >= 0.9 * true[1500:].sum() > 0
+
+
 def test_licenses(spark):
     from parttrace.llm.license_scan import TEMPLATES, bigrams, scan
 
