@@ -1,17 +1,20 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Reference points order the space: ``PIVOTS`` vectors of a bounded sample (those with the least hashed ids), chosen one
-after the other, each farthest from those before it, so that a cluster of near copies has few of them however many
+Reference points order the space: ``PIVOTS`` vectors of a bounded sample (those with the least hashed digests), chosen
+one after the other, each farthest from those before it, so that a cluster of near copies has few of them however many
 vectors it holds. Each distinct vector is described by its ``NEAREST`` reference points, nearest first. Inverted lists
-hold, for each label and reference point, the vectors that have it among theirs; vectors that share ``SHARED`` reference
-points or more, or their nearest one, are candidates and are verified by cosine in double precision. Lists longer than ``BLOCK`` are dealt into blocks and pairs
-of blocks, each a task of bounded size; a pair is counted in the list of its first shared reference point only. A block
-gives each vector's number of links and one edge to its block component, never the pairs.
+hold, for each label, length and reference point, the vectors that have it among theirs; vectors that share ``SHARED``
+reference points or more, or their nearest one, are candidates and are verified by cosine in double precision. Lists
+longer than ``BLOCK`` are dealt into blocks and pairs of blocks, each a task of bounded size; a pair is counted in the
+list of its first shared reference point only. A block gives each vector's number of links and one edge to its block
+component, never the pairs. Vectors of different lengths don't compare; a length that at most ``BLOCK`` distinct vectors
+have needs no reference points, all its pairs of a label are verified.
 
 Equal vectors of a label are one class; its members link with each other. Labels must be equal and not null. Vectors
 that are null, empty, zero, or hold null or non-finite components link with nothing. Recall against all pairs is
 measured in the tests (0.9 or more is asked for). Rows with a null id stay alone with null component. Repeated rows are
-vectors of their own with equal ids. Empty input gives an empty result; extra columns are ignored.
+vectors of their own with equal ids, and so are different vectors with one id. Empty input gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,19 +40,29 @@ def _spread(sample: np.ndarray) -> np.ndarray:
     return x[chosen]
 
 
-def _described(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _described(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """Reference points by length; where a length has none, all its vectors have one and the same."""
+
     def rows(batches):
         import pyarrow as pa
 
         for batch in batches:
-            flat = batch.column(1)
-            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float) if len(batch) else np.zeros((0, pivots.shape[1]))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            k = min(NEAREST, len(pivots))
-            order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :k].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * k), pa.array(order.ravel()))], ["cid", "v", "near"])
-
-    return vectors.select("cid", "v").mapInArrow(rows, "cid long, v array<double>, near array<int>")
+            size = batch.column(2).to_numpy()
+            flat = batch.column(1).to_numpy(zero_copy_only=False)
+            near = [None] * len(batch)
+            for d in np.unique(size):
+                at = np.flatnonzero(size == d)
+                if int(d) not in pivots:
+                    order = np.zeros((len(at), 1), np.int32)
+                else:
+                    x = np.stack(flat[at]).astype(float)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    order = np.argsort(-(x @ pivots[int(d)].T), axis=1, kind="stable")[:, :NEAREST].astype(np.int32)
+                for k, o in zip(at, order, strict=True):
+                    near[k] = o
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], [*batch.schema.names, "near"])
+
+    return vectors.select("k", "v", "d", "label", "weight").mapInArrow(rows, f"k long, v array<double>, d int, label {vectors.schema['label'].dataType.simpleString()}, weight long, near array<int>")
 
 
 def _block_links(pdf, threshold: float):
@@ -59,7 +72,7 @@ def _block_links(pdf, threshold: float):
     x = np.stack(pdf["v"].to_numpy()).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = np.stack(pdf["near"].to_numpy()).astype(np.int64)
-    ids, weight = pdf["cid"].to_numpy(np.int64), pdf["weight"].to_numpy(np.int64)
+    ids, weight = pdf["k"].to_numpy(np.int64), pdf["weight"].to_numpy(np.int64)
     pivot, i, j = (int(pdf[c].iloc[0]) for c in ("pivot", "i", "j"))
     a = pdf["block"].to_numpy() == i
     b = a if i == j else ~a
@@ -91,7 +104,7 @@ def _block_links(pdf, threshold: float):
         if (label == old).all():
             break
     keep = count > 0
-    return pd.DataFrame({"cid": ids[keep], "links": count[keep], "to": label[keep]})
+    return pd.DataFrame({"k": ids[keep], "links": count[keep], "to": label[keep]})
 
 
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93) -> DataFrame:
@@ -102,27 +115,27 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     own = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label).alias("label"), v.alias("v"))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     own = C.stored(own.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("h", F.when(F.col("fine"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.to_json("v")), 256))), "vectors")
-    classes = C.stored(own.where("fine").groupBy("h").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("weight")), "classes")
-    heads = own.where("fine").join(classes, "h").where("id = cid").dropDuplicates(["cid"]).select("cid", "label", "v", "weight", F.size("v").alias("d"))
+    classes = own.where("fine").groupBy("h").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("weight"))
+    # ids may repeat over different vectors, so classes have numbers of their own, fixed when they are written
+    classes = C.stored(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
+    heads = own.where("fine").join(classes, "h").where("id = cid").dropDuplicates(["k"]).select("k", "h", "label", "v", "weight", F.size("v").alias("d"))
     heads = C.stored(heads, "heads")
-    links = None
-    for (d,) in sorted(heads.select("d").distinct().limit(64).collect()):  # vectors of other lengths don't compare
-        some = heads.where(F.col("d") == d)
-        sample = some.orderBy(F.xxhash64("cid"), "cid").limit(min(SAMPLE, max(PIVOTS, SAMPLE_SIZE // d)))
-        pivots = _spread(np.array([r["v"] for r in sample.select("v").collect()], float))
-        index = C.stored(_described(some, pivots).join(some.select("cid", "label", "weight"), "cid").withColumn("pivot", F.explode("near")), "index")
-        lists = C.stored(index.groupBy("label", "pivot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "lists")
-        dealt = index.join(lists.drop("n"), ["label", "pivot"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        got = dealt.groupBy("label", "pivot", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, threshold), "cid long, links long, to long")
-        got = C.stored(got, "links")
-        links = got if links is None else links.union(got)
-    if links is None:
-        links = heads.select("cid", F.col("weight").alias("links"), F.col("cid").alias("to")).limit(0)
-    component = C.components(links.select(F.col("cid").alias("a"), F.col("to").alias("b"))).toDF("cid", "component")
-    per_class = classes.join(links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(component, "cid", "left")
-    per_class = C.stored(per_class.select("h", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id")), "named")
+    pivots = {}
+    for (d,) in heads.groupBy("d").count().where(F.col("count") > BLOCK).select("d").orderBy("d").collect():
+        some = heads.where(F.col("d") == d).orderBy(F.xxhash64("h"), "h").limit(min(SAMPLE, max(PIVOTS, SAMPLE_SIZE // d)))
+        pivots[d] = _spread(np.array([r["v"] for r in some.select("v").collect()], float))
+    index = C.stored(_described(heads, pivots).withColumn("pivot", F.explode("near")), "index")
+    lists = C.stored(index.groupBy("label", "d", "pivot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "lists")
+    dealt = index.join(lists.drop("n"), ["label", "d", "pivot"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    links = dealt.groupBy("label", "d", "pivot", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, threshold), "k long, links long, to long")
+    links = C.stored(links, "links")
+    component = C.components(links.select(F.col("k").alias("a"), F.col("to").alias("b"))).toDF("k", "root")
+    per_class = classes.join(links.groupBy("k").agg(F.sum("links").alias("links")), "k", "left").join(component, "k", "left")
+    per_class = C.stored(per_class.select("h", "cid", F.coalesce("root", "k").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "named")
+    least = per_class.groupBy("root").agg(F.min("cid").alias("component_id"))
+    per_class = per_class.join(least, "root").select("h", "n_links", "component_id")
     out = own.select("id", "h").join(per_class, "h", "left")
     out = out.select(F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(False)))

@@ -297,6 +297,22 @@ def test_embeddings_hot_third(spark, noise):
     assert (count <= true).all() and count.sum() >= 0.97 * true.sum() and count[1500:].sum() >= 0.9 * true[1500:].sum() > 0
 
 
+def test_embeddings_lengths_and_ids(spark):
+    """Many vector lengths, and different vectors with one id."""
+    from parttrace.llm import embed_dedup as E
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(2, 102):
+        v = rng.standard_normal(d)
+        rows += [(2 * d, v.tolist(), 0), (2 * d + 1, (1.5 * v).tolist(), 0)]
+    a, b = [1.0] * 150, [1.0, -1.0] * 75
+    rows += [(1000, a, 0), (1000, b, 0), (1001, [2.0] * 150, 0), (1002, [3.0, -3.0] * 75, 0)]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == len(rows) and {r["n_links"] for r in got} == {1}
+    assert all(r["component_id"] == (r["vec_id"] // 2 * 2 if r["vec_id"] < 1000 else 1000) for r in got)
+
+
 def test_licenses(spark):
     from parttrace.llm.license_scan import TEMPLATES, bigrams, scan
 
