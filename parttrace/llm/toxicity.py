@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
-Trained in numpy on the driver on a bounded sample of labelled texts (``SAMPLE`` of each label, those with the least
-hashed ids), it scores all overlapping windows of every whole text; a text's score is its highest window's. A word's
+Trained in numpy on the driver on a bounded sample of whole labelled texts (``SAMPLE`` of each label at most, those with
+the least hashed ids, and of these the first whose texts hold ``SAMPLE_BYTES`` in all), it scores all overlapping windows of every whole text; a text's score is its highest window's. A word's
 input is its own vector, if training met it in ``MET`` texts or more, and the mean of its character trigrams' vectors.
 Training is by the window that scores highest in each text, found anew in each epoch.
 
@@ -12,13 +12,13 @@ columns are ignored. Without labelled rows of both kinds every score is 0.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Labelled texts of each label that training uses at most, and the words of each that it reads at most.
-SAMPLE, SAMPLE_WORDS = 2500, 1500
+#: Labelled texts of each label that training uses at most, and the bytes of each label's texts; texts are never cut.
+SAMPLE, SAMPLE_BYTES = 2500, 16 << 20
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS, MET = 8, 8, 8, 1 << 14, 3
 ROUNDS, EPOCHS = 4, 3
@@ -271,7 +271,11 @@ def fitted(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id") -> N
     chosen = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64("lid"), "lid").limit(SAMPLE) for y in (0, 1)]
     # at most 2 * SAMPLE ids are broadcast, and only their texts leave the scan
     rows = docs.select(F.col(id_column).alias("lid"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen[0].union(chosen[1])), "lid")
-    got = rows.select("toxic", "lid", F.substring_index(F.substring("text", 1, 20 * SAMPLE_WORDS), " ", SAMPLE_WORDS).alias("text")).collect()
+    rows = C.stored(rows.select("toxic", "lid", "text", F.xxhash64("lid").alias("h"), F.octet_length("text").cast("long").alias("bytes")), "labelled")
+    # a budget of bytes leaves out whole texts, the last by hash; each label keeps one at least
+    so_far = F.sum("bytes").over(Window.partitionBy("toxic").orderBy("h", "lid", "text").rowsBetween(Window.unboundedPreceding, -1))
+    fits = rows.select("toxic", "lid", "h", "text", (F.coalesce(so_far, F.lit(0)) + F.col("bytes")).alias("total"), F.coalesce(so_far, F.lit(0)).alias("before"))
+    got = fits.where((F.col("total") <= SAMPLE_BYTES) | (F.col("before") == 0)).select("toxic", "lid", "text").collect()
     got.sort(key=lambda r: (r["toxic"], str(r["lid"]), r["text"]))
     toxic = np.array([r["toxic"] for r in got])
     return train([r["text"] for r in got], toxic) if len(set(toxic.tolist())) == 2 else None

@@ -136,6 +136,23 @@ def test_toxicity(spark):
     assert len(got) == len(ODD) and {r["score"] for r in got} == {0.0}
 
 
+def test_toxicity_learns_whole_texts(spark, monkeypatch):
+    """Passages after the 1,500th word are learned from, and whole texts reach the training."""
+    from parttrace.llm import toxicity as X
+
+    texts = [" ".join(sentences(100 + k, 1, low=1700, high=1750)) for k in range(60)]
+    texts = [t + (" grumbo snarfle grumbix " + t[:50] if k % 2 else "") for k, t in enumerate(texts)]
+    seen, train = [], X.train
+    monkeypatch.setattr(X, "train", lambda t, y: seen.append((t, y)) or train(t, y))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in X.toxicity(frame(spark, [(k, t, "s") for k, t in enumerate(texts)]), labels).collect()}
+    assert sorted(seen[0][0]) == sorted(texts[:40])
+    assert np.mean([got[k] == k % 2 for k in range(40, 60)]) >= 0.9
+    monkeypatch.setattr(X, "SAMPLE_BYTES", 60_000)
+    X.toxicity(frame(spark, [(k, t, "s") for k, t in enumerate(texts)]), labels)
+    assert 2 < len(seen[1][0]) < 40 and set(seen[1][0]) <= set(texts) and {0, 1} == set(seen[1][1].tolist())
+
+
 def test_windows_cover_and_overlap():
     from parttrace.llm.toxicity import STRIDE, WINDOW, windows
 
