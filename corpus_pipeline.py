@@ -1,6 +1,7 @@
 """The corpus pipeline: toxic documents go, then exact and near copies; the rest is mixed to target weights and encoded.
 
-Each stage works on all that the one before it kept. All but the last return the columns of ``documents``.
+Each stage works on all that the one before it kept. All but the last return the columns of ``documents``. Stages decide
+by a key of each row, so rows without an id are judged like others, and repeated rows are copies.
 """
 
 from __future__ import annotations
@@ -17,37 +18,51 @@ from parttrace.llm.ngram_join import ngram_jaccard
 from parttrace.llm.toxicity import toxicity
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row, ``_key``, in the order of ids (null last); fixed when it is written."""
+    docs = docs.withColumn("_place", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "_place").drop("_place")
+    return common.stored(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on all labels of the corpus, doesn't take for toxic."""
-    found = toxicity(docs, common.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return docs.join(found.where("predicted = 1").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    keyed = _keyed(docs)
+    found = toxicity(keyed, common.table(spark, sf_dir, "labels").select("doc_id", "toxic"), named_by="_key")
+    return keyed.join(found.where("predicted = 1").select("_key"), "_key", "left_anti").select(docs.columns)
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the least id."""
+    """Of equal texts the document with the least id; one without id only if none has one."""
+    keyed = _keyed(docs)
     index = DigestIndex(spark, f"digest_index_{common.uuid.uuid4().hex}")
-    found = index.add(docs)
+    found = index.add(keyed, "_key")
     index.drop()
-    return docs.join(found.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    return keyed.join(found.where("kept").select("_key"), "_key", "left_semi").select(docs.columns)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by five-word n-grams at a similarity of 0.8 or more the document with the least id."""
-    found = ngram_jaccard(docs)
-    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """Of texts linked by five-word n-grams at a similarity of 0.8 or more the document with the least id (null last)."""
+    keyed = _keyed(docs)
+    found = ngram_jaccard(keyed, "_key")
+    return keyed.join(found.where("_key = component_id").select("_key"), "_key", "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes their words: whole times, and once more with the chance of what is left.
 
-    That chance is drawn from the id, so reruns agree. Texts without words take no part in the mix and go.
+    That chance is drawn from the id, and from the text too where the id is null or repeated, so reruns agree. Texts
+    without words take no part in the mix and go.
     """
-    taken, _ = mix(docs)
+    repeated = common.stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1"), "repeated")
+    keyed = docs.join(F.broadcast(repeated) if repeated.count() <= 100_000 else repeated, "doc_id", "left")
+    own = F.col("doc_id").isNotNull() & F.col("_rows").isNull()
+    keyed = keyed.withColumn("_key", F.when(own, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text")))
+    taken, _ = mix(keyed, "_key")
     times = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64("_key", F.lit(23)), F.lit(1_000_000)) / 1_000_000
     times = (F.floor(times) + (draw < times - F.floor(times)).cast("long")).cast("int")
-    copies = taken.where("doc_id is not null").select("doc_id", times.alias("_times")).where("_times > 0").dropDuplicates(["doc_id"])
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    copies = taken.select("_key", times.alias("_times")).where("_times > 0").dropDuplicates(["_key"])
+    return keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -281,11 +281,12 @@ def fitted(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id") -> N
     return train([r["text"] for r in got], toxic) if len(set(toxic.tolist())) == 2 else None
 
 
-def toxicity(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Per document: id, score (0 to 1), predicted (1 if score >= 0.5, else 0)."""
+def toxicity(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", named_by: str | None = None) -> DataFrame:
+    """Per document: id (or the column ``named_by``), score (0 to 1), predicted (1 if score >= 0.5, else 0)."""
     spark = docs.sparkSession
     C.bounded_batches(spark)
     net = spark.sparkContext.broadcast(fitted(docs, labelled, id_column))
+    id_column = named_by or id_column
 
     def rows(batches):
         import pyarrow as pa

@@ -52,6 +52,26 @@ def test_stages(spark):
     assert len(encoded) == sum(times.values()) and all(len(r["ids"]) == r["n_tokens"] for r in encoded)
 
 
+def test_rows_without_or_with_repeated_ids(spark, tmp_path):
+    """Rows are judged by themselves: null ids like others, repeated rows as copies."""
+    clean = [" ".join(f"word{(7 * k + j * j) % 97}x{k}" for j in range(40)) for k in range(40)]
+    bad = [t + " grumbo snarfle grumbix" for t in clean]
+    rows = [(k, bad[k] if k % 2 else clean[k], "s") for k in range(40)]
+    rows += [(None, bad[3] + " more", "s"), (None, "a text of its own without id " * 3, "s"), (None, "a text of its own without id " * 3, "s"), (90, "the same row twice " * 3, "t"), (90, "the same row twice " * 3, "t"), (91, "first with this id " * 3, "t"), (91, "second with that number " * 3, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = P.common.stored(P.remove_toxic(spark, docs, str(tmp_path)), "t")
+    assert not kept.where("doc_id is null and text like '%grumbo%'").count()
+    late = spark.createDataFrame(rows[41:], docs.schema)
+    expected = sorted({(str(i), t) for i, t, _ in rows[41:]})
+    for stage in (P.remove_copies, P.remove_near_copies):
+        assert sorted((str(r["doc_id"]), r["text"]) for r in stage(spark, late, "").collect()) == expected
+    once = P.common.stored(late.distinct(), "once")
+    mixed = {(str(r["doc_id"]), r["text"]) for r in P.mix_sources(spark, once, "").collect()}
+    taken = sum(r["taken"] for r in P.mix(once)[0].collect())
+    assert mixed <= set(expected) and taken and ("None", rows[41][1]) in mixed
+
+
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_sql(spark, name):
     db = duckdb.connect()
