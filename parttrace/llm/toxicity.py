@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
 Trained in numpy on the driver on a bounded sample of whole labelled texts (``SAMPLE`` of each label at most, those with
-the least hashed ids, and of these the first whose texts hold ``SAMPLE_BYTES`` in all), it scores all overlapping windows of every whole text; a text's score is its highest window's. A word's
+the least hashed ids, and of these the first whose texts hold ``SAMPLE_BYTES`` in all), it scores overlapping windows of every whole text, one each ``STRIDE`` words; a text's score is its highest window's. A word's
 input is its own vector, if training met it in ``MET`` texts or more, and the mean of its character trigrams' vectors.
 Training is by the window that scores highest in each text, found anew in each epoch.
 
