@@ -4,8 +4,8 @@ Encoding: a text is cut by the pattern; every distinct piece that is no token it
 token), at first its bytes. Each turn of a recursive query joins neighbouring rows with the merge table and contracts
 each piece's leftmost pair of least rank, until no pair merges. Where no pair with the merged token ranks before it, the
 next turns would contract the pair's other occurrences, so those are contracted in the same turn, from the left.
-Decoding: rows (text, position, token) join the vocabulary, which has each token's bytes as a span of one blob, and an
-ordered aggregation lists each text's spans, whose bytes are then put together. Pieces are told apart by 64-bit hashes.
+Decoding: rows (text, position, token) join the vocabulary, which has each token's bytes in hexadecimal, and an ordered
+aggregation joins them to each text's bytes. Pieces are told apart by their bytes.
 
 A null text counts as empty: no ids, no bytes. Unknown ids fail the decoding. Repeated rows are returned as often as they
 occur; extra columns are ignored. A partition's pieces are kept for its next batches up to ``KEPT`` of them.
@@ -14,7 +14,6 @@ occur; extra columns are ignored. A partition's pieces are kept for its next bat
 from __future__ import annotations
 
 import base64
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,16 +22,17 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Encoded pieces that a worker remembers; beyond, it begins anew.
-KEPT = 1_000_000
+KEPT = 300_000
+#: What one worker's database takes at most.
+MEMORY = "250MB"
 #: Pieces of more bytes contract all occurrences of a pair in a turn, where that is the same.
 LONG = 256
 #: Bytes of pieces that one recursive query takes at most, unless one piece has more; and its turns, after which the next one goes on.
-STEP_BYTES, TURNS = 1 << 18, 16
+STEP_BYTES, TURNS = 1 << 17, 16
 #: Tokens that one decoding query takes at most, unless one text has more; bytes of text that are cut at a time.
-DECODE_TOKENS, CHUNK = 2_000_000, 1 << 20
+DECODE_TOKENS, CHUNK = 500_000, 1 << 20
 #: Fixed value: the pattern whose matches ``Pieces`` finds.
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_BYTE_VALUES = C._random64(256, 4107)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,19 +57,17 @@ class Codec:
         import pyarrow as pa
 
         self.pieces = Pieces(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir()})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         left, right, token, early = merges(ranks)
         self.db.register("m", pa.table({"l": left, "r": right, "rank": 2 * token + early}))
-        size = np.array([len(t) for t in ranks])
-        self.blob = np.frombuffer(b"".join(ranks), np.uint8)
-        self.db.register("v", pa.table({"span": ((np.cumsum(size) - size) << 12) | size, "id": np.fromiter(ranks.values(), np.int32)}))
-        self.db.execute("CREATE TABLE merge_table AS SELECT l * 1048576 + r AS pair, rank::BIGINT AS rank FROM m; CREATE TABLE vocabulary AS SELECT id, span FROM v; DROP VIEW m; DROP VIEW v")
+        self.db.register("v", pa.table({"id": np.fromiter(ranks.values(), np.int32), "hex": [t.hex() for t in ranks]}))
+        self.db.execute("CREATE TABLE merge_table AS SELECT l * 1048576 + r AS pair, rank::BIGINT AS rank FROM m; CREATE TABLE vocabulary AS SELECT id, hex FROM v; DROP VIEW m; DROP VIEW v")
         self.ranks = ranks
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def encode(self, column) -> list[np.ndarray]:
@@ -89,19 +87,13 @@ class Codec:
         starts = self.pieces.starts(raw, at)
         if not len(starts):
             return [np.zeros(0, np.int32)] * (len(at) - 1)
-        ends = np.append(starts[1:], len(raw))
-        value = _BYTE_VALUES[raw]
-        value *= C.powers(C._P, len(raw))[: len(raw)]
-        h = C.mixed(np.add.reduceat(value, starts) * C.powers(C._PINV, len(raw))[starts])
-        unique, one, inverse = np.unique(h, return_index=True, return_inverse=True)
+        keys, inverse = C.distinct_spans(raw, starts, np.append(starts[1:], len(raw)))
         known = self.known
-        keys = unique.tolist()
-        new = [i for i, x in enumerate(keys) if x not in known]
+        new = [x for x in keys if x not in known]
         if new:
-            whole = raw.tobytes()
-            ids = self._encode_pieces([whole[starts[k] : ends[k]] for k in one[new].tolist()])
-            for i in new:
-                known[keys[i]] = len(known)
+            ids = self._encode_pieces(new)
+            for x in new:
+                known[x] = len(known)
             self.flat = np.concatenate([self.flat, *ids]).astype(np.int32)
             self.count = np.concatenate([self.count, [len(x) for x in ids]])
         begin = np.cumsum(self.count) - self.count
@@ -165,17 +157,10 @@ class Codec:
                 self.db.register("t", pa.table({"doc": np.repeat(np.arange(j - k, dtype=np.int32), n), "pos": np.arange(size, dtype=np.int32), "id": np.concatenate(ids[k:j]).astype(np.int32)}))
                 got = self.db.sql(_DECODE).to_arrow_table()
                 self.db.unregister("t")
-                spans = got["spans"].combine_chunks()
-                if spans.values.null_count:
+                if sum(got["known"].to_pylist()) < size:
                     raise ValueError("an id isn't in the vocabulary")
-                spans_at = spans.offsets.to_numpy()
-                value = spans.values.to_numpy(zero_copy_only=False)
-                n = value & 4095
-                ends = np.cumsum(n)
-                data = self.blob[np.repeat((value >> 12) - (ends - n), n) + np.arange(ends[-1])].tobytes()
-                ends = np.concatenate([[0], ends])
-                for d, doc in enumerate(got["doc"].to_pylist()):
-                    out[k + doc] = data[ends[spans_at[d]] : ends[spans_at[d + 1]]]
+                for doc, data in zip(got["doc"].to_pylist(), got["bytes"].to_pylist(), strict=True):
+                    out[k + doc] = data
             k = j
         return out
 
@@ -276,7 +261,7 @@ WITH RECURSIVE step(turn, piece, pos, token, open) AS (
 SELECT piece, pos, token, open FROM (SELECT *, max(turn) OVER (PARTITION BY piece) AS last FROM step) WHERE turn = last
 """
 
-_DECODE = "SELECT doc, list(span ORDER BY pos) AS spans FROM t LEFT JOIN vocabulary USING (id) GROUP BY doc"
+_DECODE = "SELECT doc, count(hex) AS known, unhex(coalesce(string_agg(hex, '' ORDER BY pos), '')) AS bytes FROM t LEFT JOIN vocabulary USING (id) GROUP BY doc"
 
 
 def bpe(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", with_ids: bool = True) -> DataFrame:

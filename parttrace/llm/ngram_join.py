@@ -1,15 +1,20 @@
 """N-gram Jaccard join: which documents share so many word n-grams that they count as near copies.
 
 Prefix filtering, rarest n-grams first: of a set of n hashed n-grams, ordered by (corpus frequency, hash), two sets of
-Jaccard similarity t or more share one of their first n - ceil(t n) + 1. Candidates meet on these prefix n-grams,
-pass a length filter, a positional filter and a suffix filter, and are verified once per pair on whole texts.
+Jaccard similarity t or more share one of their first n - ceil(t n) + 1. Candidates meet on these prefix n-grams in the
+list of each, pass a length filter, a positional filter and a suffix filter, and are verified once per pair on whole
+texts. The suffix filter bounds from below how many elements only one of the two suffixes after the meeting place has,
+by their parities over 128 parts of the hash range; pairs that pass are bounded once more by the parities of their whole
+sets, over as many parts as a set has elements.
 
-Large groups: equal sets are one class from the start. In each n-gram's list all members are first verified against
-one leader (rows: one per posting), which links groups of near copies, for a few turns with other leaders; then only
-members that are still outside their list's main component meet the rest of their list. Every pair that could link and is not yet connected is verified, so
-components are exact, though no group's pairs are all made.
+Large groups: equal sets are one class from the start. In each n-gram's list all members first meet one leader (rows:
+one per posting), which links groups of near copies, for a few turns with other leaders; then only members that are
+still outside their list's main component meet the rest of their list. Every pair that could link and is not yet
+connected is verified, so components are exact, though no group's pairs are all made.
 
-Sides that grow with the corpus are merged, never broadcast, so that the plan is the same at every size.
+N-grams that occur in one prefix only are most of all; they are counted by their hashes alone and don't become postings,
+but for some that a filter lets through (its bits follow their number up to 32 MB; beyond, it lets more through). Joins
+of what grows with the corpus carry a merge hint, so that the plan is the same at every size.
 
 Null or empty texts, or texts without words, have an empty set (size 0) and link with nothing. A text with fewer words
 than n is one n-gram. A row without id links with copies of its text only. Repeated rows are returned as often as they
@@ -21,19 +26,21 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 #: Buckets of hashed n-grams over which corpus frequencies are counted: 2 MB, whatever the corpus.
 BUCKETS = 1 << 18
-#: Parts of the hash range in whose counts, and in the parities of whose counts, the suffix filter compares two sets.
-PARTS, PARITIES = 32, 512
+#: Parts of the hash range whose parities a posting carries, in two numbers.
+PARTS = 128
 #: Turns in which list members meet one leader only; whoever is still apart then meets the whole list, so no link is lost.
 TURNS = 4
 #: Turns end early once the whole lists have fewer than so many open pairs per posting.
 FEW = 1000
+#: Texts that are described or compared at a time.
+ROWS = 128
 
 
 def shingles(column, n: int) -> list[np.ndarray]:
@@ -64,6 +71,11 @@ def _bucket(g: np.ndarray) -> np.ndarray:
     return (g >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
+def _slices(batch):
+    for k in range(0, len(batch), ROWS):
+        yield batch.slice(k, ROWS)
+
+
 def frequencies(texts: DataFrame, n: int) -> np.ndarray:
     """In how many texts n-grams of each hash bucket occur, over all texts; ``BUCKETS`` numbers reach the driver."""
 
@@ -72,8 +84,9 @@ def frequencies(texts: DataFrame, n: int) -> np.ndarray:
 
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for g in shingles(batch.column(0), n):
-                np.add.at(total, _bucket(g), 1)
+            for part in _slices(batch):
+                total += np.bincount(_bucket(np.concatenate([np.zeros(0, np.uint64), *shingles(part.column(0), n)])), minlength=BUCKETS)
+        C.trim_memory()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "k"])
 
@@ -83,8 +96,15 @@ def frequencies(texts: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _parities(g: np.ndarray) -> np.ndarray:
+    """Parities of a set over a power of two of parts, ``PARTS`` at least: bits of 64-bit numbers."""
+    parts = max(PARTS, 1 << (len(g) - 1).bit_length() if len(g) else 0)
+    odd = (np.bincount((g & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def describe(texts: DataFrame, id_column: str, n: int, percent: int) -> DataFrame:
-    """Per document: size and digest of its set, its prefix n-grams rarest first and the counts for the suffix filter."""
+    """Per document: size and digest of its set, its prefix n-grams rarest first and its parities."""
     spark = texts.sparkSession
     often = spark.sparkContext.broadcast(frequencies(texts, n))
 
@@ -93,69 +113,115 @@ def describe(texts: DataFrame, id_column: str, n: int, percent: int) -> DataFram
 
         import pyarrow as pa
 
+        lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *xs])))
+        for batch in batches:
+            for part in _slices(batch):
+                prefix, size, digest, odd = [], [], [], []
+                for g in shingles(part.column(1), n):
+                    m = len(g)
+                    size.append(m)
+                    digest.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
+                    keep = m - (percent * m + 99) // 100 + 1 if m else 0
+                    prefix.append(g[np.lexsort((g, often.value[_bucket(g)]))[:keep]].view(np.int64))
+                    odd.append(_parities(g))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists(prefix), lists(odd)], ["id", "n", "digest", "prefix", "odd"])
+        C.trim_memory()
+
+    return texts.select(F.col(id_column).cast("long").alias("id"), F.col("text")).mapInArrow(rows, "id long, n long, digest binary, prefix array<long>, odd array<long>")
+
+
+def _postings(heads: DataFrame, shared: np.ndarray) -> DataFrame:
+    """Rows (gram, id, n, place, s0, s1): prefix n-grams that may be in the bitmap, and the parities of the elements after.
+
+    s0 and s1 are those of the whole set, folded to ``PARTS``, without those of the n-grams up to the place.
+    """
+    bits = heads.sparkSession.sparkContext.broadcast(shared)
+
+    def rows(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            sets = shingles(batch.column(1), n)
-            prefix, size, digest, parts, odd = [], [], [], [], []
-            for g in sets:
-                m = len(g)
-                size.append(m)
-                digest.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
-                keep = m - (percent * m + 99) // 100 + 1 if m else 0
-                order = np.lexsort((g, often.value[_bucket(g)]))[:keep]
-                prefix.append(g[order].view(np.int64))
-                parts.append(np.minimum(np.bincount((g & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 32767).astype(np.int16))
-                odd.append(np.packbits((np.bincount((g >> np.uint64(8) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1).astype(bool)))
-            at = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(size, pa.int64()),
-                    pa.array(digest, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix]))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARTS), pa.array(np.concatenate([np.zeros(0, np.int16), *parts]))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(np.concatenate([np.zeros(0, np.uint8), *odd]).view(np.int64))),
-                ],
-                ["id", "n", "digest", "prefix", "parts", "odd"],
-            )
-
-    return texts.select(F.col(id_column).cast("long").alias("id"), F.col("text")).mapInArrow(rows, "id long, n long, digest binary, prefix array<long>, parts array<short>, odd array<long>")
+            m = np.diff(batch.column(2).offsets.to_numpy()).astype(np.int64)
+            gram = batch.column(2).flatten().to_numpy()
+            at = np.cumsum(m) - m
+            whole = np.zeros((len(batch), 2), np.uint64)
+            cuts = batch.column(3).offsets.to_numpy() - batch.column(3).offsets[0].as_py()
+            odd = batch.column(3).flatten().to_numpy().view(np.uint64)
+            for k in range(2):  # every other number folds onto one of two
+                own = np.where(np.arange(len(odd)) % 2 == k, odd, np.uint64(0))
+                whole[:, k] = np.bitwise_xor.reduceat(own, cuts[:-1]) if len(odd) else 0
+            owner = np.repeat(np.arange(len(batch)), m)
+            part = (gram.view(np.uint64) & np.uint64(PARTS - 1)).astype(np.uint64)
+            after = []
+            for k in range(2):
+                bit = np.where(part >> np.uint64(6) == k, np.uint64(1) << (part & np.uint64(63)), np.uint64(0))
+                so_far = np.bitwise_xor.accumulate(bit) if len(bit) else bit
+                before = np.where(at > 0, so_far[np.maximum(at, 1) - 1], np.uint64(0)) if len(bit) else np.zeros(len(m), np.uint64)
+                after.append((so_far ^ before[owner] ^ whole[owner, k]).view(np.int64))
+            ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            place = np.arange(len(gram)) - at[owner]
+            keep = np.flatnonzero(C.among(gram, bits.value))
+            owner = owner[keep]
+            columns = (gram[keep], ids[owner], n[owner].astype(np.int32), place[keep].astype(np.int32), *(x[keep] for x in after))
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["gram", "id", "n", "place", "s0", "s1"])
+        C.trim_memory()
+
+    return heads.select("id", "n", "prefix", "odd").mapInArrow(rows, "gram long, id long, n int, place int, s0 long, s1 long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, id_column: str, n: int, percent: int) -> DataFrame:
     """Of distinct pairs (a, b), those whose whole texts are similar. Only texts that occur in a pair are shuffled."""
     wanted = C.id_filter(pairs.select("a").union(pairs.select("b")))
-    source = texts.select(F.col(id_column).cast("long").alias("id"), "text")
-    own = C.stored(C.maybe_in(source, "id", wanted), "texts")
-    both = pairs.join(own.toDF("b", "tb").hint("merge"), "b").join(own.toDF("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb")
+    source = C.maybe_in(texts.select(F.col(id_column).cast("long").alias("id"), "text"), "id", wanted)
+    both = pairs.join(source.toDF("b", "tb").hint("merge"), "b").join(source.toDF("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb")
 
     def check(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for x, y in zip(shingles(batch.column(2), n), shingles(batch.column(3), n), strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(bool(common) and 100 * common >= percent * (len(x) + len(y) - common))
-            got = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], ["a", "b"])
+            for part in _slices(batch):
+                keep = []
+                for x, y in zip(shingles(part.column(2), n), shingles(part.column(3), n), strict=True):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(bool(common) and 100 * common >= percent * (len(x) + len(y) - common))
+                got = part.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], ["a", "b"])
+        C.trim_memory()
 
     return both.mapInArrow(check, "a long, b long")
 
 
-def _possible(percent: int):
-    """Length, positional and suffix filter of two prefix postings x and y; none drops a pair that links.
+def _most_apart(nx: Column, ny: Column, percent: int) -> tuple[Column, Column]:
+    """How many elements two sets that link share at least, and how many only one of them has at most."""
+    least = F.ceil((nx + ny) * percent / F.lit(100 + percent) - F.lit(1e-6))
+    return least, nx + ny - 2 * least
+
+
+def _possible(percent: int, x: str = "x", y: str = "y") -> Column:
+    """Length, positional and suffix filter of two postings x and y of one n-gram, taken as the first that they share.
 
-    The suffix filter bounds the Hamming distance of the sets from below: by the differences of their counts in parts
-    of the hash range, and by how many finer parts hold an odd number of elements that only one of them has.
+    A pair that links isn't dropped in the list of the first n-gram they share; in later lists it may be.
     """
-    nx, ny = F.col("x.n"), F.col("y.n")
-    least = F.ceil((nx + ny) * percent / F.lit(100 + percent) - F.lit(1e-6))
+    of = lambda s, c: F.col(f"{s}.{c}")
+    nx, ny = of(x, "n"), of(y, "n")
+    least, _ = _most_apart(nx, ny, percent)
+    after_x, after_y = nx - of(x, "place") - 1, ny - of(y, "place") - 1
     length = (100 * F.least(nx, ny)) >= percent * F.greatest(nx, ny)
-    place = F.least(nx - F.col("x.place"), ny - F.col("y.place")) >= least
-    apart = F.aggregate(F.zip_with("x.parts", "y.parts", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
-    odd = reduce(lambda p, q: p + q, (F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k])) for k in range(PARITIES // 64)))
-    most = nx + ny - 2 * least
-    return length & place & (odd <= most) & ((F.greatest(nx, ny) > 32767) | (apart <= most))
+    place = F.least(after_x, after_y) + 1 >= least
+    apart = F.bit_count(of(x, "s0").bitwiseXOR(of(y, "s0"))) + F.bit_count(of(x, "s1").bitwiseXOR(of(y, "s1")))
+    return length & place & (apart <= after_x + after_y - 2 * (least - 1))
+
+
+def _near_enough(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose whole sets' parities differ in no more parts than they may have elements apart."""
+    side = heads.select("id", "n", "odd")
+    both = pairs.join(side.toDF("b", "nb", "ob").hint("merge"), "b").join(side.toDF("a", "na", "oa").hint("merge"), "a")
+    # the longer array folds onto the shorter one: both are powers of two
+    fold = lambda long, short: f"transform(sequence(0, size({short}) - 1), k -> aggregate(sequence(0, size({long}) div size({short}) - 1), 0L, (s, j) -> s ^ element_at({long}, int(k + 1 + j * size({short})))))"
+    oa = F.expr(f"if(size(oa) > size(ob), {fold('oa', 'ob')}, oa)")
+    ob = F.expr(f"if(size(ob) > size(oa), {fold('ob', 'oa')}, ob)")
+    apart = F.aggregate(F.zip_with(oa, ob, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+    return both.where(apart <= _most_apart(F.col("na"), F.col("nb"), percent)[1]).select("a", "b")
 
 
 def ngram_jaccard(docs: DataFrame, id_column: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
@@ -167,59 +233,73 @@ def ngram_jaccard(docs: DataFrame, id_column: str = "doc_id", n: int = 5, percen
     C.bounded_batches(spark)
     texts = docs.select(id_column, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     described = C.stored(describe(texts, id_column, n, percent), "sets")
-    classes = C.stored(described.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep")), "classes")
-    lone = described.where("n > 0").select("id", "n", "digest", "prefix", "parts", "odd")
-    heads = C.stored(lone.join(classes.hint("merge"), ["n", "digest"]).where("id = rep").select("id", "n", "prefix", "parts", "odd"), "heads")
+    documents = described.count()
+    some = described.where("n > 0")
+    classes = C.stored(some.groupBy("n", "digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes", documents)
+    # only rows of classes with copies cross a shuffle for their class's head
+    marked = C.in_filter(some, "digest", C.id_filter(classes.where("copies > 1").select("digest")))
+    alone = marked.where("not _in and id is not null").select("id", "n", "prefix", "odd")
+    own = ["id", "n", "digest"]
+    copies = marked.where("_in").join(classes.select(F.col("rep").alias("id"), "n", "digest").hint("merge"), own, "left_semi").dropDuplicates(own).select("id", "n", "prefix", "odd")
+    heads = C.stored(alone.union(copies), "heads", documents, 10_000)
+    grams = heads.agg(F.sum(F.size("prefix"))).first()[0] or 0
     C.release(spark)
-    place = heads.select("id", "n", F.posexplode("prefix").alias("place", "gram"))
-    # a list's leader is the member with the least id: near copies agree on it in nearly all their lists
-    lists = place.groupBy("gram").agg(F.min("id").alias("leader"), F.max("id").alias("other"))
-    lists = C.stored(lists.where("leader != other").select("gram", "leader"), "lists")
-    # most n-grams have no list; a filter of fixed size drops nearly all of them before the shuffle
-    shared = C.id_filter(lists.select("gram"))
-    postings = C.stored(C.maybe_in(place, "gram", shared).join(lists, "gram"), "postings")
+    lists = C.stored(heads.select(F.explode("prefix").alias("gram")).groupBy("gram").count().where("count > 1").select("gram"), "lists", grams, 500_000)
+    # most n-grams have no list; a filter drops nearly all of them before the shuffle
+    postings = C.stored(_postings(heads, C.hash_bits(lists)).join(lists.hint("merge"), "gram"), "postings", grams // 4)
     C.release(spark)
-    side = heads.select("id", "n", "parts", "odd", F.lit(0).alias("place"))
     total = postings.count()
-    known = postings.withColumn("component", F.col("id")).withColumn("outside", F.lit(True))
-    lead = lists.select("gram", F.col("leader").alias("to"), F.col("leader").alias("tc"))
-    tried, links, final = [], [], C.components(postings.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    member = F.struct("id", "n", "place", "s0", "s1")
+    # a list's leader is the member with the least id: near copies agree on it in nearly all their lists
+    known = postings.withColumn("component", F.col("id"))
+    lead = postings.groupBy("gram").agg(F.min(member).alias("to"))
+    tried, links, final, used = [], [], None, []
     turn, last = 1, total == 0
     while not last:
         if turn > 1:
-            known = postings.join(final.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-            known = known.join(final.toDF("leader", "lc").hint("merge"), "leader", "left").withColumn("outside", F.col("component") != F.coalesce("lc", "leader")).drop("lc")
-            known = C.stored(known, "known")
+            known = postings.join(final.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")) if final is not None else known
+            known = C.stored(known, "known", total)
+            used.append(known)
+            # lists of two have met; lists in one component are done; a list's main component is its leader's
+            state = known.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min_by("component", "id").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("m > 2 and lo != hi")
+            known = C.stored(known.join(state.select("gram", "main").hint("merge"), "gram").withColumn("outside", F.col("component") != F.col("main")), "open", total)
+            used.append(known)
             sizes = known.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.count_if("outside").alias("o"))
             last = turn > TURNS or (sizes.agg(F.sum(F.col("m") * F.col("o"))).first()[0] or 0) <= FEW * total
         # each turn links list members to one that isn't in its list's main component yet; the last meets them all
         if not last:
             if turn > 1:
-                near = F.struct(F.xxhash64("id", "gram", F.lit(turn)).alias("h"), F.col("id").alias("to"), F.col("component").alias("tc"))
+                near = F.struct(F.xxhash64("id", "gram", F.lit(turn)).alias("h"), member.alias("to"), F.col("component").alias("tc"))
                 lead = known.where("outside").groupBy("gram").agg(F.min(near).alias("lead")).select("gram", "lead.to", "lead.tc")
-            pairs = known.join(lead, "gram").where("component != tc").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
-            pairs = pairs.join(side.hint("merge").alias("x"), F.col("a") == F.col("x.id")).join(side.hint("merge").alias("y"), F.col("b") == F.col("y.id")).where(_possible(percent)).select("a", "b")
+            x = known.join(lead.hint("merge"), "gram").where("id != to.id" if turn == 1 else "component != tc")
+            met = x.select(F.struct("id", "n", "place", "s0", "s1").alias("x"), F.col("to").alias("y"))
         else:
-            rest = known.join(known.where("outside").select("gram").distinct(), "gram", "left_semi").join(heads.select("id", "parts", "odd").hint("merge"), "id")
-            rest = C.stored(rest, "rest")
-            x, y = rest.where("outside").alias("x"), rest.alias("y")
-            met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & _possible(percent))
-            pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+            x, y = known.where("outside").select("gram", "component", member.alias("x")), known.select("gram", F.col("component").alias("other"), member.alias("y"))
+            met = x.join(y.hint("merge"), "gram").where("component != other").select("x", "y")
+        pairs = met.where(_possible(percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         for old in tried:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = C.stored(pairs, "pairs")
+            pairs = pairs.join(old.hint("merge"), ["a", "b"], "left_anti")
+        pairs = C.stored(pairs, "met", total)
+        tried.append(pairs)
+        candidates = pairs.count()
+        pairs = C.stored(_near_enough(pairs, heads, percent), "pairs", candidates)
+        C.release(spark)
         if not pairs.isEmpty():
-            tried.append(pairs)
-            found = C.stored(verified(pairs, texts, id_column, n, percent), "links")
+            found = C.stored(verified(pairs, texts, id_column, n, percent), "links", candidates, 5_000)
             if not found.isEmpty():
                 links.append(found)
-                final = C.components(reduce(DataFrame.union, links))
+                final = C.components(reduce(DataFrame.union, links), documents)
             C.release(spark)
         turn += 1
     # class by class, then document by document
-    named = C.stored(classes.join(final.toDF("rep", "component"), "rep", "left").select("n", "digest", F.coalesce("component", "rep").alias("component")), "named")
+    if final is not None:
+        classes = C.stored(classes.join(final.toDF("rep", "component").hint("merge"), "rep", "left").select("n", "digest", F.coalesce("component", "rep").alias("component")), "named", documents)
+    else:
+        classes = classes.select("n", "digest", F.col("rep").alias("component"))
+    for old in (heads, lists, postings, *used, *tried):
+        C.discard(old)
     return (
         described.select("id", "n", "digest")
-        .join(named.hint("merge"), ["n", "digest"], "left")
+        .join(classes.hint("merge"), ["n", "digest"], "left")
         .select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     )

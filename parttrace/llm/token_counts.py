@@ -6,7 +6,7 @@ Pieces with the word mark at their front start a word, all others go on with it.
 matches counts as one unknown token.
 
 Words are runs of [^\\x20\\x09-\\x0D]. Null and empty texts count 0. A worker remembers the counts of up to ``KEPT``
-distinct words, told apart by 64-bit hashes of their bytes. Repeated rows get equal counts; extra columns are ignored.
+distinct words. Repeated rows get equal counts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-KEPT = 1_000_000
+KEPT = 300_000
 #: Fixed value: the mark that starts a word in the piece vocabulary.
 MARK = "▁"
 
@@ -82,30 +82,19 @@ class Automaton:
         return n
 
 
-_VALUES = C._random64(256, 60605)
-_VALUES[C._SEP] = 0
-_known: dict[str, dict[int, int]] = {}
+_known: dict[str, dict[bytes, int]] = {}
 
 
-def counts(automaton: Automaton, column, known: dict[int, int]) -> np.ndarray:
+def counts(automaton: Automaton, column, known: dict[bytes, int]) -> np.ndarray:
     raw, at = C.text_bytes(column)
-    out = np.zeros(len(at) - 1, np.int64)
-    if not len(raw):
-        return out
     _, first, start, end = C.word_hashes(column, spans=True)
     if not len(start):
-        return out
-    value = _VALUES[raw]
-    value *= C.powers(C._P, len(raw))[: len(raw)]
-    h = C.mixed(np.add.reduceat(value, start) * C.powers(C._PINV, len(raw))[start])  # unlike the shared ones, these tell case
-    unique, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-    keys = unique.tolist()
-    new = [k for k, x in enumerate(keys) if x not in known]
-    whole = raw.tobytes()
-    for k in new:
-        known[keys[k]] = automaton.count(whole[start[one[k]] : end[one[k]]].decode())
-    n = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[inverse]
-    total = np.concatenate([[0], np.cumsum(n)])
+        return np.zeros(len(at) - 1, np.int64)
+    words, inverse = C.distinct_spans(raw, start, end)
+    for w in words:
+        if w not in known:
+            known[w] = automaton.count(w.decode())
+    total = np.concatenate([[0], np.cumsum(np.fromiter(map(known.__getitem__, words), np.int64, len(words))[inverse])])
     return total[first[1:]] - total[first[:-1]]
 
 
