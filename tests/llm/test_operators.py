@@ -416,6 +416,19 @@ def test_mixing(spark):
         assert all(abs(r["target"] - goal[s]) < 1e-6 and r["source_size"] == size[s] and r["taken"] <= 2 * r["size"] for r in mine)
         assert sum(r["taken"] for r in mine) == int(goal[s] + 1e-9)
         assert sum(r["words"] for r in slots.where(F.col("source").eqNullSafe(F.lit(s))).collect()) == int(goal[s] + 1e-9)
+    # shards are of one size and draw their sources; every block of a pass is taken once
+    drawn = slots.collect()
+    n = {h: sum(r["shard"] == h for r in drawn) for h in range(5)}
+    assert max(n.values()) - min(n.values()) <= 1
+    share = {s: sum(r["source"] == s for r in drawn) / len(drawn) for s in order}
+    counts = {(h, s): sum(r["shard"] == h and r["source"] == s for r in drawn) for h in range(5) for s in order}
+    assert all(abs(counts[h, s] - n[h] * share[s]) <= 5 * (n[h] * share[s]) ** 0.5 + 1 for h, s in counts) and len(set(counts.values())) > len(order)
+    for s in order:
+        times = {}
+        for r in drawn:
+            if r["source"] == s:
+                times[r["block"]] = times.get(r["block"], 0) + 1
+        assert max(times.values()) - min(times.get(k, 0) for k in range(-(-size[s] // 16))) <= 1
     again = mix(frame(spark, rows[::-1]).repartition(3), block=16, shards=5)[0].collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert mix(frame(spark, []))[0].count() == 0 and targets(spark.createDataFrame([], "source string, size long")).count() == 0
@@ -430,3 +443,24 @@ def test_components_and_filter(spark):
     some = spark.range(0, 1000, 7)
     kept = {r[0] for r in C.maybe_in(spark.range(1000), "id", C.id_filter(some)).collect()}
     assert {r[0] for r in some.collect()} <= kept and len(kept) < 200
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 100, 1000])
+def test_permutation(spark, n):
+    """Each turn's indices are a permutation, and another one in each turn and source."""
+    from parttrace.llm.mixing import _permuted
+
+    rows = spark.range(n).selectExpr("id as place", f"{n}L as n", "explode(array(0L, 1L)) as turn", "0L as sid")
+    got = {}
+    for r in rows.withColumn("to", _permuted("place", "n", 7)).collect():
+        got.setdefault(r["turn"], {})[r["place"]] = r["to"]
+    assert all(sorted(x.values()) == list(range(n)) for x in got.values()) and (n < 8 or got[0] != got[1] != {k: k for k in range(n)})
+
+
+def test_running_and_numbered(spark):
+    rows = [(k % 3, k, k * k % 7) for k in range(500)]
+    df = spark.createDataFrame(rows, "g int, place long, v long")
+    got = {(r["g"], r["place"]): r["base"] for r in C.running(df, ["g"], "place", "v", width=20).collect()}
+    assert got == {(g, p): sum(v for h, q, v in rows if h == g and q < p) for g, p, _ in rows}
+    got = {r["place"]: r["nr"] for r in C.numbered(df.repartition(7), "nr", F.col("place").desc()).collect()}
+    assert got == {p: 499 - p for _, p, _ in rows}
