@@ -1,12 +1,13 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
 Trained in numpy on the driver on a bounded sample of whole labelled texts (``SAMPLE`` of each label at most, those with
-the least hashed ids, and of these the first whose texts hold ``SAMPLE_BYTES`` in all), it scores overlapping windows of every whole text, one each ``STRIDE`` words; a text's score is its highest window's. A word's
-input is its own vector, if training met it in ``MET`` texts or more, and the mean of its character trigrams' vectors.
-Training is by the window that scores highest in each text, found anew in each epoch.
+the least hashed ids, and of these the first whose texts hold ``SAMPLE_BYTES`` in all), it scores overlapping windows of
+every whole text, one each ``STRIDE`` words; a text's score is its highest window's. A word's input, without the signs at
+its ends, is its own vector, if training met it in ``MET`` texts or more, and the mean of the vectors of its character
+trigrams and beginnings. Training is by the window that scores highest in each text, found anew in each round.
 
 Null texts and texts without words score 0. Long texts just have more windows. Repeated rows get equal scores. Extra
-columns are ignored. Without labelled rows of both kinds every score is 0.
+columns are ignored. Without labelled rows of both kinds every score is 0. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,45 +19,79 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Labelled texts of each label that training uses at most, and the bytes of each label's texts; texts are never cut.
-SAMPLE, SAMPLE_BYTES = 2500, 16 << 20
+SAMPLE, SAMPLE_BYTES = 2500, 5 << 20
 WINDOW, STRIDE = 32, 16
-HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS, MET = 8, 8, 8, 1 << 14, 3
+HIDDEN, WORD_DIM, CHAR_DIM, GRAMS, MET = 8, 8, 8, 1 << 14, 6
+#: Where in the gap between clean and toxic texts of the sample the threshold lies.
+EDGE = 0.25
+#: Lengths in bytes of the beginnings of words that are inputs beside their trigrams.
+PREFIXES = (4, 5, 6, 7)
 ROUNDS, EPOCHS = 4, 3
 #: Steps of each round at least, so that small samples are learned too.
 LEAST_STEPS = 40
 
 
+#: ASCII signs, which a word's input goes without at its ends.
+_SIGN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def _trimmed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without the signs at their ends; a span of signs alone stays as it is."""
+    own = np.flatnonzero(~_SIGN[raw])
+    if not len(own) or not len(start):
+        return start, end
+    low, high = np.searchsorted(own, start), np.searchsorted(own, end) - 1
+    some = low <= high
+    return np.where(some, own[np.minimum(low, len(own) - 1)], start), np.where(some, own[np.maximum(high, 0)] + 1, end)
+
+
 class Words:
     """The distinct words of some texts: index of each occurrence, and each distinct word's trigrams."""
 
     def __init__(self, column):
-        h, self.first, start, end = C.word_hashes(column, spans=True)
+        _, self.first, start, end = C.word_hashes(column, spans=True)
         raw, _ = C.text_bytes(column)
-        self.hashes, one, self.index = np.unique(h, return_index=True, return_inverse=True)
-        # each distinct word between boundary bytes, one after the other
+        folded = C._FOLD[raw]
+        start, end = _trimmed(folded, start, end)
+        self.hashes, one, index = np.unique(C.span_hashes(folded, start, end) if len(start) else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
+        self.index = index.astype(np.int32)
+        # each distinct word between boundary bytes
         n = end[one] - start[one] + 2
-        self.size = n - 2
         stop = np.cumsum(n)
         body = np.repeat(start[one] - (stop - n) - 1, n) + np.arange(n.sum())
         edge = np.zeros(len(body), bool)
         edge[stop - n] = edge[stop - 1] = True
         body[edge] = 0
-        letters = C._FOLD[raw[body]].astype(np.uint32) if len(raw) else np.zeros(0, np.uint32)
+        letters = folded[body].astype(np.uint32) if len(raw) else np.zeros(0, np.uint32)
         letters[edge] = 1
-        code = letters[:-2] * np.uint32(0x9E3779B1) ^ letters[1:-1] * np.uint32(0x85EBCA6B) ^ letters[2:] * np.uint32(0xC2B2AE35) if len(letters) > 2 else np.zeros(0, np.uint32)
+        code, owner = [], []
+        word = np.repeat(np.arange(len(n)), n)
+        if len(body):
+            three = letters[:-2] * np.uint32(0x9E3779B1) ^ letters[1:-1] * np.uint32(0x85EBCA6B) ^ letters[2:] * np.uint32(0xC2B2AE35)
+            keep = word[:-2] == word[2:]
+            code.append(three[keep])
+            owner.append(word[:-2][keep])
+            # beginnings of words: the first PREFIXES bytes, hashed as they grow
+            h = np.zeros(len(n), np.uint32)
+            for k in range(1, max(PREFIXES) + 1):
+                some = np.flatnonzero(n - 2 >= k)
+                h[some] = (h[some] ^ letters[stop[some] - n[some] + k]) * np.uint32(0x01000193) + np.uint32(k)
+                if k in PREFIXES:
+                    code.append(h[some] * np.uint32(0x85EBCA6B) + np.uint32(k))
+                    owner.append(some)
+        code, owner = np.concatenate([np.zeros(0, np.uint32), *code]), np.concatenate([np.zeros(0, np.int64), *owner])
         code ^= code >> np.uint32(15)
-        keep = np.ones(len(code), bool)
-        keep[stop[:-1] - 2] = keep[stop[:-1] - 1] = False  # those over two words
-        self.trigrams = (code[keep] * np.uint32(0x27D4EB2F) >> np.uint32(18)).astype(np.int64)
-        self.trigram_at = np.cumsum(self.size) - self.size
-
+        order = np.argsort(owner, kind="stable")
+        self.grams = (code[order] * np.uint32(0x27D4EB2F) >> np.uint32(18)).astype(np.int32)
+        self.size = np.bincount(owner, minlength=len(n))
+        self.gram_at = np.cumsum(self.size) - self.size
 
     def only(self, some: np.ndarray) -> "Words":
         """The distinct words ``some``, without their occurrences."""
         out = object.__new__(Words)
         n = self.size[some]
-        out.hashes, out.size, out.trigram_at = self.hashes[some], n, np.cumsum(n) - n
-        out.trigrams = self.trigrams[np.repeat(self.trigram_at[some] - out.trigram_at, n) + np.arange(n.sum())]
+        out.hashes, out.size, out.gram_at = self.hashes[some], n, np.cumsum(n) - n
+        out.grams = self.grams[np.repeat(self.gram_at[some] - out.gram_at, n) + np.arange(n.sum())]
         return out
 
 
@@ -79,7 +114,7 @@ class Network:
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.vocabulary = vocabulary
-        self.p = {"word": (rng.standard_normal((len(vocabulary) + 1, WORD_DIM)) * 0.1).astype(np.float32), "char": (rng.standard_normal((TRIGRAMS, CHAR_DIM)) * 0.1).astype(np.float32)}
+        self.p = {"word": (rng.standard_normal((len(vocabulary) + 1, WORD_DIM)) * 0.1).astype(np.float32), "char": (rng.standard_normal((GRAMS, CHAR_DIM)) * 0.1).astype(np.float32)}
         self.p["word"][-1] = 0
         for side in "fb":
             self.p |= {f"W{side}": draw(d, 3 * h), f"U{side}": draw(h, 3 * h), f"c{side}": np.zeros(3 * h, np.float32)}
@@ -95,8 +130,8 @@ class Network:
             x[:-1, :WORD_DIM] = self.p["word"][row]
             for a in range(0, len(words.hashes), 20_000):
                 b = min(len(words.hashes), a + 20_000)
-                t = words.trigrams[words.trigram_at[a] : words.trigram_at[b - 1] + words.size[b - 1]]
-                x[a:b, WORD_DIM:] = np.add.reduceat(self.p["char"][t], words.trigram_at[a:b] - words.trigram_at[a]) / words.size[a:b, None].astype(np.float32)
+                t = words.grams[words.gram_at[a] : words.gram_at[b - 1] + words.size[b - 1]]
+                x[a:b, WORD_DIM:] = np.add.reduceat(self.p["char"][t], words.gram_at[a:b] - words.gram_at[a]) / words.size[a:b, None].astype(np.float32)
         return row, x
 
     def forward(self, which: np.ndarray, x: np.ndarray, keep: bool = False):
@@ -166,15 +201,17 @@ class Network:
             g["word"][:, k] = np.bincount(row, dx[:-1, k], len(p["word"]))
         g["word"][-1] = 0
         for k in range(CHAR_DIM):
-            g["char"][:, k] = np.bincount(words.trigrams, np.repeat(dx[:-1, WORD_DIM + k] / words.size, words.size), TRIGRAMS)
+            g["char"][:, k] = np.bincount(words.grams, np.repeat(dx[:-1, WORD_DIM + k] / words.size, words.size), GRAMS)
         return g
 
     def best(self, words: Words, chunk: int = 4096, blank: bool = False):
         """(logits of all windows, their word indices, their texts)."""
         start, text = windows(words.first)
         stop = words.first[1:][text]
-        at = start[:, None] + np.arange(WINDOW)
-        which = np.where(at < stop[:, None], words.index[np.minimum(at, max(0, len(words.index) - 1))], -1) if len(start) else np.zeros((0, WINDOW), np.int64)
+        which = np.full((len(start), WINDOW), -1, np.int32)
+        for k in range(WINDOW):
+            inside = start + k < stop
+            which[inside, k] = words.index[start[inside] + k]
         if blank:
             return np.zeros(len(which), np.float32), which, text
         _, x = self.inputs(words)
@@ -190,6 +227,12 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(top - self.shift, -500, 500))) * np.isfinite(top)
 
 
+def _odds(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log odds of counts against the share of all, nearer 0 the fewer they are."""
+    odds = np.log((p + 0.5) / (p.sum() + 1)) - np.log((n + 0.5) / (n.sum() + 1))
+    return (odds * (1 - np.exp(-(p + n) / 4))).astype(np.float32)
+
+
 def _leaning(owner: np.ndarray, item: np.ndarray, size: int, toxic: np.ndarray) -> np.ndarray:
     """Of each item, how much more often toxic texts have it than clean ones (log odds), nearer 0 the fewer texts have it."""
     pair = np.unique(owner.astype(np.int64) * size + item)
@@ -207,17 +250,19 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
     import pyarrow as pa
 
     rng = np.random.default_rng(seed)
+    n = len(texts)
     words = Words(pa.array(texts, pa.string()))
-    n, size = len(texts), max(1, len(words.hashes))
+    texts = []  # not needed any more
+    size = max(1, len(words.hashes))
     owner = np.repeat(np.arange(n), np.diff(words.first))
     met = np.bincount(np.unique(owner * size + words.index) % size, minlength=size)
     net = Network(words.hashes[met[: len(words.hashes)] >= MET], seed)
     lean = _leaning(owner, words.index, size, toxic)
-    seen = np.repeat(np.arange(size), words.size) if len(words.hashes) else np.zeros(0, np.int64)
-    first_owner = np.zeros(size, np.int64)
-    first_owner[words.index[::-1]] = owner[::-1]
-    # a trigram's texts: those of the words that have it, one text a word
-    gram = _leaning(first_owner[seen], words.trigrams, TRIGRAMS, toxic)
+    # of a gram: in how many texts of each label its words are, added up
+    pair = np.unique(owner * size + words.index)
+    bad = np.bincount(pair % size, toxic[pair // size], size)
+    of = np.repeat(np.arange(size), words.size) if len(words.hashes) else np.zeros(0, np.int64)
+    gram = _odds(np.bincount(words.grams, bad[of], GRAMS), np.bincount(words.grams, (met - bad)[of], GRAMS))
     net.p["word"][:-1, 0] = lean[met >= MET] / 2
     net.p["char"][:, 0] = gram / 2
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -227,7 +272,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
         logit, which, text = net.best(words) if turn_of else net.best(words, blank=True)
         if not turn_of:
             value = np.append(np.where(met >= MET, lean, 0), -9)
-            logit = np.sort(value[which], 1)[:, -3:].sum(1)
+            logit = np.concatenate([np.zeros(0), *(np.sort(value[which[k : k + 4096]], 1)[:, -3:].sum(1) for k in range(0, len(which), 4096))])
         order = np.lexsort((-logit, text))
         rank = np.arange(len(text)) - np.searchsorted(text[order], text[order])
         # a clean text's windows are all clean; a toxic one's best is taken to be toxic
@@ -251,7 +296,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
                     mean[name] += 0.1 * (v - mean[name])
                     square[name] += 0.01 * (v * v - square[name])
                     net.p[name] -= rate * (mean[name] / (1 - 0.9**turn)) / (np.sqrt(square[name] / (1 - 0.99**turn)) + 1e-8)
-    # the threshold: between the sample's clean and toxic texts where fewest are wrong, in the middle of the gap
+    # the threshold: between the sample's clean and toxic texts where fewest are wrong
     logit, _, text = net.best(words)
     top = np.full(n, -np.inf)
     np.maximum.at(top, text, logit)
@@ -261,7 +306,9 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, seed: int =
     wrong = np.concatenate([[0], np.cumsum(label)]) + 4 * np.concatenate([[(label == 0).sum()], (label == 0).sum() - np.cumsum(label == 0)])
     cut = np.flatnonzero(wrong == wrong.min())
     padded = np.concatenate([[top[known].min() - 1], top[known][order], [top[known].max() + 1]])
-    net.shift = float((padded[cut] + padded[cut + 1]).mean() / 2)
+    low, high = float(padded[cut].min()), float(padded[cut + 1].max())
+    # toxic texts that training hasn't met score lower than those it has, clean ones hardly higher
+    net.shift = low + EDGE * (high - low)
     return net
 
 
@@ -278,7 +325,11 @@ def fitted(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id") -> N
     got = fits.where((F.col("total") <= SAMPLE_BYTES) | (F.col("before") == 0)).select("toxic", "lid", "text").collect()
     got.sort(key=lambda r: (r["toxic"], str(r["lid"]), r["text"]))
     toxic = np.array([r["toxic"] for r in got])
-    return train([r["text"] for r in got], toxic) if len(set(toxic.tolist())) == 2 else None
+    if len(set(toxic.tolist())) < 2:
+        return None
+    texts = [r["text"] for r in got]
+    got.clear()
+    return train(texts, toxic)
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", named_by: str | None = None) -> DataFrame:
