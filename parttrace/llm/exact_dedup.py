@@ -64,7 +64,8 @@ class DigestIndex:
         self.spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.root}/v{version}'")
 
     def _write(self, rows: DataFrame, name: str, **options: str) -> None:
-        rows.repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").options(**options).saveAsTable(name)
+        # by the bucket itself: each is written by one task, into one file
+        rows.repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets))).write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").options(**options).saveAsTable(name)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -91,6 +92,7 @@ class DigestIndex:
         """
         own = docs.select(F.col(id_column).cast("long").alias("id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
         own = C.stored(own, "digests")
+        n = own.count()
         shares = [k / batches for k in range(1, batches)]
         cuts = [c for c in (own.agg(F.percentile_approx("id", shares)).first()[0] if shares else None) or [] if c is not None]
         groups = []
@@ -100,9 +102,9 @@ class DigestIndex:
                 part = part.where(F.col("id") <= cuts[k])
             if k:  # the last batch has the rows without id
                 part = part.where((F.col("id") > cuts[k - 1]) | F.col("id").isNull() if k == len(cuts) else F.col("id") > cuts[k - 1])
-            groups.append(C.stored(part.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("group_size")).repartition(self.buckets, "digest"), "groups"))
+            groups.append(C.stored(part.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("group_size")), "groups", n))
             fresh = groups[-1].where("least is not null").hint("merge").join(self.table(), "digest", "left_anti")
-            self._write(C.stored(fresh.select("digest", F.col("least").alias("keep_id"), F.lit(batch).alias("batch")), "fresh"), self.name)
+            self._write(C.stored(fresh.select("digest", F.col("least").alias("keep_id"), F.lit(batch).alias("batch")), "fresh", n), self.name)
         if len(self.table().inputFiles()) > FILES * self.buckets:
             self.compact()
         sizes = groups[0].select("digest", "group_size")
@@ -111,7 +113,7 @@ class DigestIndex:
         if groups[1:]:
             sizes = sizes.groupBy("digest").agg(F.sum("group_size").alias("group_size"))
         found = sizes.hint("merge").join(self.table().select("digest", "keep_id"), "digest", "left")
-        found = C.stored(found.select("digest", "keep_id", "group_size"), "found")
+        found = C.stored(found.select("digest", "keep_id", "group_size"), "found", n)
         # both sides are shuffled here, so a digest that a third of all rows have is split over tasks
         return own.join(found, "digest").select(
             F.col("id").alias(id_column), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
