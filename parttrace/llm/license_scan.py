@@ -1,20 +1,17 @@
 """License scans, with DataFrame functions only.
 
-Every line of every text, and every licence template, is normalised (ASCII letters lower-cased, all but letters and
-digits turned into single spaces) and described by its set of word bigrams; lines of one word have that word alone.
-Lines meet templates in an index from bigrams to templates, of fixed size, within size bounds: at a Dice coefficient of
-``percent`` hundredths a line's set has from p / (200 - p) to (200 - p) / p times the template's size. Each line goes to
-its best template (of equal ones the first by name).
-
-Null and empty texts and lines without letters or digits match nothing. Long lines beyond every template's bound
-are only measured. Repeated rows give repeated results. Extra columns are ignored; a null id is carried through.
-
-``passages`` looks at whole texts instead: the words of a text are one sequence, across line breaks and comment marks.
-A window of it, from one bigram of a template to another, has c of the template's b bigrams and u places whose bigram
-isn't the template's; its Dice coefficient is 2c / (c + u + b). Of the windows from each place where a run of the
-template's bigrams starts (or its first bigram stands) the best is taken, and of overlapping ones that with the greatest
-2c - u - b (then the higher coefficient, the template first by name, the earlier place). Templates are the statements
-above and the whole texts and notices in the folder ``licenses``; those of a single word are not found.
+Texts and licence templates are normalised: ASCII letters lower-cased, all but letters and digits turned into single
+spaces. A text's words are one sequence, across line breaks and comment marks, and its bigrams meet templates in an index
+from bigrams to templates, of fixed size. A window of the text, from one bigram of a template to another, has c of the
+template's b bigrams and u places whose bigram isn't the template's; its Dice coefficient is 2c / (c + u + b). Size
+bounds leave out templates of which a text has too few bigrams within the longest window that could match. Of the windows
+from each place where a run of the template's bigrams starts (or its first bigram stands) the best is taken, the longest
+of equal ones, and of overlapping ones that with the greatest 2c - u - b (then the higher coefficient, the template first
+by name, the earlier place). Templates are the statements below and the whole texts and notices in the folder
+``licenses``; those of a single word are not found.
+
+Null and empty texts, and texts of one word, match nothing. Very long texts are read whole. Repeated rows give repeated
+results. Extra columns are ignored; a null id is carried through. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,41 +58,8 @@ def _words(raw: str) -> Column:
     return F.filter(F.split(F.regexp_replace(F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
-def bigrams(text: str) -> set[str]:
-    """The template side of the normal form."""
-    w = _split(text)
-    return {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)} or set(w)
-
-
 def scan(docs: DataFrame, id_column: str = "doc_id", percent: int = 80, templates: dict[str, str] | None = None) -> DataFrame:
-    """Per matching line: id, line (from 0), license, dice."""
-    known = {name: b for name, t in (TEMPLATES if templates is None else templates).items() if (b := bigrams(t))}
-    spark = docs.sparkSession
-    least = min((-(-len(b) * percent // (200 - percent)) for b in known.values()), default=1)
-    most = max((len(b) * (200 - percent) // percent for b in known.values()), default=0)
-    index = spark.createDataFrame([(g, n, len(known[n])) for n in sorted(known) for g in sorted(known[n])], "gram string, license string, size int")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text")).select("id", "row", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    # explode of a single value keeps an expression from being evaluated again wherever its value is used
-    lines = lines.select("id", "row", "line", F.explode(F.array(_words("raw"))).alias("w")).where(F.size("w") >= max(1, least))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda k: F.concat(F.get("w", k - 1), F.lit(" "), F.get("w", k)))
-    grams = F.array_distinct(F.when(F.size("w") > 1, pairs).otherwise(F.col("w")))
-    lines = lines.select("id", "row", "line", F.explode(F.array(grams)).alias("grams")).withColumn("own", F.size("grams")).where(F.col("own").between(least, most))
-    met = lines.select("id", "row", "line", "own", F.explode("grams").alias("gram")).join(F.broadcast(index), "gram")
-    met = met.where(_bounds(percent)).groupBy("id", "row", "line", "own", "license", "size").agg(F.count(F.lit(1)).alias("common"))
-    met = met.where(200 * F.col("common") >= percent * (F.col("own") + F.col("size")))
-    dice = 2.0 * F.col("common") / (F.col("own") + F.col("size"))
-    best = met.groupBy("row", "line").agg(F.min_by(F.struct("id", "license", dice.alias("dice")), F.struct((-dice).alias("d"), F.col("license"))).alias("b"))
-    return best.select(F.col("b.id").alias(id_column), "line", "b.license", "b.dice")
-
-
-def _bounds(percent: int) -> Column:
-    a, b = F.col("own"), F.col("size")
-    return (a * (200 - percent) >= b * percent) & (a * percent <= b * (200 - percent))
-
-
-def passages(docs: DataFrame, id_column: str = "doc_id", percent: int = 80, templates: dict[str, str] | None = None) -> DataFrame:
-    """Per passage of a whole text: id, first_word, last_word (from 0), license, dice. No two passages of a text overlap."""
+    """Per licence passage of a whole text: id, first_word, last_word (from 0), license, dice. No two passages of a text overlap."""
     index = []
     for name, t in sorted((texts() if templates is None else templates).items()):
         w = _split(t)
@@ -132,3 +96,31 @@ def passages(docs: DataFrame, id_column: str = "doc_id", percent: int = 80, temp
     kept = F.expr("aggregate(ranked, slice(ranked, 1, 0), (a, p) -> if(exists(a, q -> q.first_word <= p.last_word AND p.first_word <= q.last_word), a, array_append(a, p)))")
     out = found.groupBy("row").agg(F.first("id").alias("id"), ranked.alias("ranked")).select("id", F.explode(kept).alias("p"))
     return out.select(F.col("id").alias(id_column), "p.first_word", "p.last_word", "p.license", (-F.col("p.far")).alias("dice"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sql(percent: int = 80, table: str = "documents", id_column: str = "doc_id") -> str:
+    """The scan as DuckDB SQL."""
+    normal = lambda c: f"list_filter(string_split(regexp_replace(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+    pairs = "list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])"
+    return f"""
+WITH RECURSIVE template(license, raw) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in sorted(texts().items()))}),
+places AS (SELECT license, {pairs} AS p FROM (SELECT license, {normal("raw")} AS w FROM template)),
+sizes AS (SELECT license, len(list_distinct(p)) AS size, (len(list_distinct(p)) * {percent} + {199 - percent}) // {200 - percent} AS need, len(p) * {200 - percent} // {percent} AS span FROM places),
+idx AS (SELECT license, gram, size, need, span, row_number() OVER (PARTITION BY license ORDER BY first_at) = 1 AS leads FROM (SELECT license, gram, min(k) AS first_at FROM (SELECT license, unnest(p) AS gram, unnest(range(len(p))) AS k FROM places) GROUP BY ALL) JOIN sizes USING (license)),
+own AS (SELECT row_number() OVER () AS rid, {id_column} AS id, {normal("coalesce(text, '')")} AS w FROM {table}),
+grams AS (SELECT rid, len(w) AS words, unnest({pairs}) AS gram, unnest(range(len(w) - 1)) AS pos FROM own WHERE len(w) > 1),
+hits AS (SELECT rid, license, pos, leads, size, need, span, coalesce(lag(pos) OVER (PARTITION BY rid, license, gram ORDER BY pos), -1) AS before FROM grams JOIN idx USING (gram) WHERE words > need),
+starts AS (SELECT rid, license, pos AS s, size, span FROM (SELECT *, lead(pos, need::INT - 1) OVER h AS reach, lag(pos) OVER h AS last FROM hits WINDOW h AS (PARTITION BY rid, license ORDER BY pos)) WHERE reach - pos < span AND (last IS NULL OR last < pos - 1 OR leads)),
+windows AS (SELECT rid, license, s, st.size, h.pos AS e, count(*) OVER x AS n, sum((before < s)::INT) OVER x AS c FROM starts st JOIN hits h USING (rid, license) WHERE h.pos >= s AND h.pos - s < st.span WINDOW x AS (PARTITION BY rid, license, s ORDER BY h.pos)),
+best AS (SELECT rid, license, s AS first_word, e + 1 AS last_word, 2 * c::DOUBLE / (c + (e - s + 1 - n) + size) AS dice, 2 * c - (e - s + 1 - n) - size AS gain FROM windows WHERE 200 * c >= {percent} * (c + (e - s + 1 - n) + size) QUALIFY row_number() OVER (PARTITION BY rid, license, s ORDER BY dice DESC, e DESC) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY gain DESC, dice DESC, license, first_word, last_word) AS k FROM best),
+kept AS (SELECT rid, k, [{{'a': first_word, 'b': last_word}}] AS seen, true AS keep FROM ranked WHERE k = 1
+  UNION ALL
+  SELECT r.rid, r.k, CASE WHEN free THEN list_append(seen, {{'a': first_word, 'b': last_word}}) ELSE seen END, free
+  FROM (SELECT r.*, t.seen, len(list_filter(t.seen, lambda q: q.a <= r.last_word AND r.first_word <= q.b)) = 0 AS free FROM kept t JOIN ranked r ON r.rid = t.rid AND r.k = t.k + 1) r)
+SELECT id AS {id_column}, first_word::INT AS first_word, last_word::INT AS last_word, license, dice FROM kept JOIN ranked USING (rid, k) JOIN own USING (rid) WHERE keep
+"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_scan
 from .common import table
-from .license_scan import TEMPLATES, bigrams, passages, scan
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +63,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
-
-
-def op8_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,18 +86,27 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, coa
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-_OP8 = f"""
-WITH idx(gram, license, size) AS (VALUES {", ".join(f"('{g}', '{n}', {len(b)})" for n, t in sorted(TEMPLATES.items()) for b in [bigrams(t)] for g in sorted(b))}),
-ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
-ws AS (SELECT doc_id, line, list_filter(string_split(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM ln),
-gs AS (SELECT doc_id, line, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) ELSE w END AS grams FROM ws),
-met AS (SELECT doc_id, line, own, license, size, count(*) AS common FROM (SELECT doc_id, line, len(grams) AS own, unnest(grams) AS gram FROM gs) JOIN idx USING (gram) GROUP BY ALL)
-SELECT doc_id, line::INT AS line, license, 2 * common::DOUBLE / (own + size) AS dice FROM met WHERE 200 * common >= 80 * (own + size)
-QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1
+_OP1 = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) > 2 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, l.b FROM r JOIN links l ON l.a = r.root)
+SELECT doc_id, len(s) AS n_shingles, component_id FROM s JOIN (SELECT id AS doc_id, min(root) AS component_id FROM r GROUP BY id) USING (doc_id)
+"""
+
+_OP7 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+fine AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r(id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM r JOIN links l ON l.a = r.root),
+c AS (SELECT id AS vec_id, min(root) AS component_id FROM r GROUP BY id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_quality, op3_toxicity, op4_byte_bpe, op5_extract_html, op6_token_counts, op7_embedding_dedup, op8_license_scan, op8_license_passages, op9_exact_dedup, op10_mix_sources)
+    for f in (op1_ngram_jaccard_join, op2_quality, op3_toxicity, op4_byte_bpe, op5_extract_html, op6_token_counts, op7_embedding_dedup, op8_license_scan, op9_exact_dedup, op10_mix_sources)
 }
-SQL: dict[str, str] = {"op8_license_scan": _OP8, "op9_exact_dedup": _OP9}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op7_embedding_dedup": _OP7, "op8_license_scan": license_scan.sql(), "op9_exact_dedup": _OP9}
