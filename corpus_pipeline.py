@@ -19,16 +19,28 @@ from parttrace.llm.toxicity import toxicity
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of each row, ``_key``, in the order of ids (null last); fixed when it is written."""
+    """``docs`` with a number of each row, ``_key``, in the order of ids (null last).
+
+    Ids that are all there and different are the numbers. Otherwise rows are numbered, which orders and writes them all.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
     docs = docs.withColumn("_place", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "_place").drop("_place")
     return common.stored(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
 
 
+def _without(keyed: DataFrame, found: DataFrame, dropped: str) -> DataFrame:
+    """Rows whose key isn't among the dropped ones. Only rows that a filter of the dropped keys doesn't clear are shuffled."""
+    keys = common.stored(found.where(dropped).select("_key"), "dropped")
+    marked = common.in_filter(keyed, "_key", common.id_filter(keys))
+    return marked.where("not _in").union(marked.where("_in").join(keys.hint("merge"), "_key", "left_anti").select(marked.columns)).drop("_in", "_key")
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on all labels of the corpus, doesn't take for toxic."""
     keyed = _keyed(docs)
     found = toxicity(keyed, common.table(spark, sf_dir, "labels").select("doc_id", "toxic"), named_by="_key")
-    return keyed.join(found.where("predicted = 1").select("_key"), "_key", "left_anti").select(docs.columns)
+    return _without(keyed, found, "predicted = 1")
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +49,13 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     index = DigestIndex(spark, f"digest_index_{common.uuid.uuid4().hex}")
     found = index.add(keyed, "_key")
     index.drop()
-    return keyed.join(found.where("kept").select("_key"), "_key", "left_semi").select(docs.columns)
+    return _without(keyed, found, "not kept")
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by five-word n-grams at a similarity of 0.8 or more the document with the least id (null last)."""
     keyed = _keyed(docs)
-    found = ngram_jaccard(keyed, "_key")
-    return keyed.join(found.where("_key = component_id").select("_key"), "_key", "left_semi").select(docs.columns)
+    return _without(keyed, ngram_jaccard(keyed, "_key"), "_key <> component_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without words take no part in the mix and go.
     """
     repeated = common.stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1"), "repeated")
-    keyed = docs.join(F.broadcast(repeated) if repeated.count() <= 100_000 else repeated, "doc_id", "left")
+    keyed = docs.join(F.broadcast(repeated) if repeated.limit(100_001).count() <= 100_000 else repeated, "doc_id", "left")
     own = F.col("doc_id").isNotNull() & F.col("_rows").isNull()
     keyed = keyed.withColumn("_key", F.when(own, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text")))
     taken, _ = mix(keyed, "_key")
