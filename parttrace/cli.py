@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import html
 import json
 import os
 import sys
+from pathlib import Path
+
+from pyspark.errors import PySparkException
 
 from .errors import AuditError
 from .plans.audit import COLUMN_OPTIONS, Config, run, summary_lines
@@ -31,7 +35,8 @@ def parser() -> argparse.ArgumentParser:
         a.add_argument(f"--{name}", type=int, default=default)
     for name in COLUMN_OPTIONS:
         a.add_argument(f"--{name.replace('_', '-')}")
-    sub.add_parser("ci", help="audit with options from INPUT_* variables; writes outputs for the step")
+    c = sub.add_parser("ci", help="audit with options from INPUT_* variables; writes outputs for the step")
+    c.add_argument("--input-json", help="a JSON object of inputs in place of the variables")
     return p
 
 
@@ -67,16 +72,46 @@ def ci_options(env: dict[str, str]) -> tuple[dict, bool]:
     return options, fail
 
 
-def ci(env: dict[str, str]) -> int:
-    options, fail = ci_options(env)
+def ci_inputs(path: str) -> dict[str, str]:
+    """The inputs of a JSON file, as the variables would give them."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+    except (OSError, ValueError) as e:
+        raise AuditError(f"inputs can't be read: {path}") from e
+    if not isinstance(given, dict) or not all(isinstance(v, str) for v in given.values()):
+        raise AuditError("inputs are an object of texts")
+    return {f"INPUT_{k.upper()}": v for k, v in given.items()}
+
+
+def _escaped(value) -> str:
+    """A table cell that holds no markup of its own."""
+    text = html.escape(str(value), quote=True)
+    for sign in "`|\\[]*_":
+        text = text.replace(sign, f"&#{ord(sign)};")
+    return " ".join(text.split())
+
+
+def step_output(name: str, value) -> str:
+    if "\n" in str(value) or "\r" in str(value):
+        raise AuditError(f"output {name} has more than one line")
+    return f"{name}={value}\n"
+
+
+def ci(env: dict[str, str], input_json: str | None = None) -> int:
+    options, fail = ci_options(ci_inputs(input_json) if input_json else env)
     result = run(session(), config_of(options))
-    said = {"status": result.report["status"], "exit-code": result.exit_code, "violations": result.report["summary"]["n_violation"], "review-items": result.report["summary"]["n_review_item"]} | {k.replace("_", "-"): v for k, v in result.paths.items()}
+    paths = {"repair-proposal-csv": ""} | {{"repair_csv": "repair-proposal-csv"}.get(k, k.replace("_", "-")): str(Path(v).resolve()) for k, v in result.paths.items()}
+    if not all(Path(p).is_file() for p in paths.values() if p):
+        raise AuditError("an artifact is missing")
+    said = {"status": "violations" if result.exit_code else "passed", "exit-code": result.exit_code, "violation-count": result.report["summary"]["policy_violations"], "review-count": result.report["summary"]["review_items"]} | paths
     if env.get("GITHUB_OUTPUT"):
         with open(env["GITHUB_OUTPUT"], "a", encoding="utf-8") as f:
-            f.writelines(f"{k}={v}\n" for k, v in said.items())
+            f.writelines(step_output(k, v) for k, v in said.items())
     if env.get("GITHUB_STEP_SUMMARY"):
+        shown = {"train": options["train"], "test": options["test"]} | said
         with open(env["GITHUB_STEP_SUMMARY"], "a", encoding="utf-8") as f:
-            f.write("| | |\n|-|-|\n" + "".join(f"| {k} | {json.dumps(v)} |\n" for k, v in said.items()))
+            f.write("## Split audit\n\n| | |\n|-|-|\n" + "".join(f"| {_escaped(k)} | {_escaped(v)} |\n" for k, v in shown.items()) + "\nSimilar images need a person's judgement. A repair is a proposal and is never applied.\n")
     return 0 if result.exit_code == 2 and not fail else result.exit_code
 
 
@@ -84,9 +119,9 @@ def main(argv: list[str] | None = None) -> int:
     options = vars(parser().parse_args(argv))
     try:
         if options.pop("command") == "ci":
-            return ci(dict(os.environ))
+            return ci(dict(os.environ), options["input_json"])
         result = run(session(), config_of(options))
-    except (AuditError, ValueError) as e:
+    except (AuditError, ValueError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     print("\n".join(summary_lines(result)))

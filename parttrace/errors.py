@@ -29,5 +29,21 @@ class RepairError(AuditError):
     """A repair that can't be proposed."""
 
 
+class AssistError(AuditError):
+    """Help from an outside service that failed."""
+
+
+class AssistRequestError(AssistError):
+    """The service could not be asked."""
+
+
+class AssistCredentialError(AssistError):
+    """The service refused, or lacks, the credentials."""
+
+
+class AssistResponseError(AssistError):
+    """The service's answer isn't a proposal."""
+
+
 class ReportError(AuditError):
     """Artifacts that can't be written."""

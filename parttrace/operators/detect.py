@@ -13,10 +13,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from ..functions import text as T
+from ..functions.barcode import PARSER_VERSION
 
 DETECTOR_VERSION = "parttrace-detectors-1"
-CREATED_AT = "2026-01-01 00:00:00"
+#: Which detector finds each type.
+DETECTORS = {
+    "confirmed_patient_overlap": "identifier_overlap",
+    "confirmed_specimen_overlap": "identifier_overlap",
+    "confirmed_slide_overlap": "identifier_overlap",
+    "institution_overlap": "identifier_overlap",
+    "confirmed_byte_content_duplicate": "byte_duplicate",
+    "confirmed_pixel_content_duplicate": "pixel_duplicate",
+    "image_similarity_candidate": "image_similarity",
+    "image_read_error": "input_quality",
+    "resource_limit_exceeded": "resource_limit",
+}
 IDENTIFIER_FINDINGS = {
     "patient_id": ("confirmed_patient_overlap", "confirmed"),
     "specimen_id": ("confirmed_specimen_overlap", "confirmed"),
@@ -24,7 +37,7 @@ IDENTIFIER_FINDINGS = {
     "institution_id": ("institution_overlap", "warning"),
 }
 MAX_PAIRS, PHASH_LIMIT, DHASH_LIMIT = 100_000, 8, 12
-#: From this threshold on bands are so short that comparing all pairs is no worse.
+#: Beyond this threshold bands are so short that all images share some.
 LONGEST_BANDED = 16
 
 
@@ -81,7 +94,7 @@ def identifier_overlaps(records: DataFrame, conflicts: DataFrame | None = None,
 def _shape(found: DataFrame, field: Column, value: Column, metrics: Column | None = None) -> DataFrame:
     return found.select(
         "finding_id", "finding_type", "confirmation_level", field.alias("matched_field"), value.alias("matched_value"), "n_records", "n_train", "n_test", "first_record_id",
-        (F.create_map(F.lit("matched_value"), value) if metrics is None else metrics).alias("metrics"), F.lit(DETECTOR_VERSION).alias("detector_version"), F.lit(CREATED_AT).cast("timestamp").alias("created_at"),
+        (F.create_map(F.lit("matched_value"), value) if metrics is None else metrics).alias("metrics"), F.lit(DETECTOR_VERSION).alias("detector_version"), F.current_timestamp().alias("created_at"),
     )
 
 
@@ -116,19 +129,23 @@ def pair_counts(fingerprints: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFram
 def similar(resolved: DataFrame, phash_limit: int = PHASH_LIMIT, dhash_limit: int = DHASH_LIMIT, max_pairs: int = MAX_PAIRS) -> DataFrame:
     """(left_id, right_id, phash_distance, dhash_distance) of train and test images within both limits, both inclusive.
 
-    Below ``max_pairs`` all pairs are compared, with one side broadcast, whose size that bounds. Beyond, and for a
-    limit of up to LONGEST_BANDED, images meet in one of limit + 1 bands of the hash, of which near hashes share one.
+    Below ``max_pairs`` all pairs are compared, with one side broadcast, whose size that bounds. Beyond, images meet in
+    one of limit + 1 bands of the hash with the narrower limit, of which near hashes share one; a limit of more than
+    LONGEST_BANDED for both hashes is refused there.
     """
     cols = ["record_id", "phash", "dhash", "byte_sha256", "pixel_sha256"]
     left, right = (resolved.where(F.col("partition") == p).select(*cols).toDF(*(f"{s}_{c}" for c in cols)) for p, s in (("train", "l"), ("test", "r")))
     pairs = pair_counts(resolved.withColumn("status", F.lit("resolved")), max_pairs).first()
     near = (T.hamming(F.col("l_phash"), F.col("r_phash")) <= phash_limit) & (T.hamming(F.col("l_dhash"), F.col("r_dhash")) <= dhash_limit)
     differ = ~F.coalesce(F.col("l_byte_sha256") == F.col("r_byte_sha256"), F.lit(False)) & ~F.coalesce(F.col("l_pixel_sha256") == F.col("r_pixel_sha256"), F.lit(False))
-    if not pairs["limit_exceeded"] or phash_limit > LONGEST_BANDED:
+    if not pairs["limit_exceeded"]:
         small_right = pairs["n_test"] <= pairs["n_train"]
         joined = left.join(F.broadcast(right), near & differ) if small_right else F.broadcast(left).join(right, near & differ)
-        if pairs["limit_exceeded"]:
-            joined = left.join(right, near & differ)  # more pairs than a broadcast may serve: blocks of both sides meet
+    elif min(phash_limit, dhash_limit) > LONGEST_BANDED:
+        raise ConfigError(f"above {max_pairs} pairs, images are compared by bands: a threshold of {LONGEST_BANDED} or less is needed")
+    elif dhash_limit < phash_limit:  # the narrower limit has the longer bands
+        band = lambda df, s: df.withColumn("band", F.explode(_bands(F.col(f"{s}_dhash"), dhash_limit + 1)))
+        joined = band(left, "l").join(band(right, "r"), "band").where(near & differ).dropDuplicates(["l_record_id", "r_record_id"])
     else:
         band = lambda df, s: df.withColumn("band", F.explode(_bands(F.col(f"{s}_phash"), phash_limit + 1)))
         joined = band(left, "l").join(band(right, "r"), "band").where(near & differ).dropDuplicates(["l_record_id", "r_record_id"])
@@ -174,6 +191,25 @@ def limit_finding(records: DataFrame, fingerprints: DataFrame, max_pairs: int =
     return _single(first.join(over), "resource_limit_exceeded", "warning", F.concat_ws("\x1f", "record_id", F.col("pairs").cast("string")), "image_pair_limit", F.lit(str(max_pairs)), metrics)
 
 
+def evidence(members: DataFrame, records: DataFrame, fingerprints: DataFrame | None = None) -> DataFrame:
+    """One row per finding and record: where the record comes from, what matched, and its image's digests.
+
+    A table beside the findings, not an array in each: a finding may have a third of all records.
+    """
+    about = records.select("record_id", F.col("manifest_id").alias("source_manifest_id"), "source_row_number", F.col("partition").alias("assigned_partition"), "image_path", F.when(F.col("lineage").isNotNull(), F.lit(PARSER_VERSION)).alias("parser_version"))
+    out = members.join(about, "record_id")
+    prints = ["byte_sha256", "pixel_sha256", "phash", "dhash"]
+    if fingerprints is None:
+        out = out.withColumns({"byte_sha256": F.lit(None).cast("string"), "pixel_sha256": F.lit(None).cast("string"), "phash": F.lit(None).cast("long"), "dhash": F.lit(None).cast("long")})
+    else:
+        out = out.join(fingerprints.select("record_id", *prints), "record_id", "left")
+    image = F.col("matched_field").isin("image_path", "byte_sha256", "pixel_sha256")
+    # an identifier's evidence is its value; an image's is its path and digests
+    digests = {c: F.when(image, F.col(c)) for c in prints}
+    path = F.when(image, F.col("image_path")).otherwise(F.col("matched_value"))
+    return out.select("finding_id", "record_id", "source_manifest_id", "source_row_number", "assigned_partition", F.when(image, F.lit("image_path")).otherwise(F.col("matched_field")).alias("matched_field"), path.alias("matched_value"), "image_path", "parser_version", *(v.alias(k) for k, v in digests.items()))
+
+
 def all_findings(records: DataFrame, conflicts: DataFrame | None, fingerprints: DataFrame | None, max_pairs: int = MAX_PAIRS, phash_limit: int = PHASH_LIMIT, dhash_limit: int = DHASH_LIMIT) -> Findings:
     """Identifiers, then images, then the quality of the input; over the limit no pair is compared."""
     out = identifier_overlaps(records, conflicts)

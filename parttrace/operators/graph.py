@@ -43,17 +43,26 @@ def edge_counts(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("finding_type").isin(*EDGE_TYPES)).groupBy(F.col("finding_type").alias("relationship_type")).agg(F.sum((n * (n - 1) / 2).cast("long")).alias("n_edges"))
 
 
+def lost(members: DataFrame, records: DataFrame) -> DataFrame:
+    """Members that are no record."""
+    return members.join(records.select("record_id"), "record_id", "left_anti")
+
+
 def check(findings: DataFrame, members: DataFrame, records: DataFrame) -> None:
     """Finding ids are unique and every member is a record."""
     twice = findings.groupBy("finding_id").count().where("count > 1").limit(1).collect()
     if twice:
         raise GraphError(f"finding id is not unique: {twice[0][0]}")
-    lost = members.join(records, "record_id", "left_anti").limit(1).collect()
-    if lost:
-        raise GraphError(f"a finding names a record that isn't there: {lost[0]['record_id']}")
+    absent = lost(members, records).limit(1).collect()
+    if absent:
+        raise GraphError(f"a finding names a record that isn't there: {absent[0]['record_id']}")
 
 
-def largest_component(findings: DataFrame, members: DataFrame) -> int:
-    """Records of the largest component over all edges; 1 when there are none."""
+def largest(findings: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: the records of the largest component over all edges, 1 when there are none; and how many components have edges."""
     sizes = connected(star_edges(findings, members)).groupBy("component").count()
-    return sizes.agg(F.max("count")).first()[0] or 1
+    return sizes.agg(F.coalesce(F.max("count"), F.lit(1)).alias("largest"), F.count(F.lit(1)).alias("n_components"))
+
+
+def largest_component(findings: DataFrame, members: DataFrame) -> int:
+    return largest(findings, members).first()["largest"]

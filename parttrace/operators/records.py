@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import RecordError
 from ..functions import barcode
@@ -35,21 +36,37 @@ def _refuse(df: DataFrame, condition: Column, message: Column) -> DataFrame:
     return df.where(F.when(condition, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows (source_row_number, raw), the raw columns in one struct, so that no header clashes with a column of ours."""
+    if "raw" in rows.columns and isinstance(rows.schema["raw"].dataType, StructType):
+        return rows
+    return rows.select("source_row_number", F.struct(*(F.col(f"`{c}`") for c in rows.columns if c != "source_row_number")).alias("raw"))
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """The raw columns alone."""
+    return packed(rows).select("raw.*") if "source_row_number" in rows.columns else rows
+
+
+def cell(column: str) -> Column:
+    return F.col("raw").getField(column).cast("string")
+
+
 def semantic(rows: DataFrame, mapping: dict[str, str], unicode: bool = True) -> DataFrame:
     """Columns of meanings beside the raw ones; those without a column are null."""
-    missing = sorted({c for c in mapping.values() if c not in rows.columns})
+    missing = sorted({c for c in mapping.values() if c not in rows.schema["raw"].dataType.names})
     if missing:
         raise RecordError(f"mapped columns are not there: {missing}")
     made = {}
     for f in FIELDS:
-        raw = F.col(f"`{mapping[f]}`").cast("string") if mapping.get(f) else F.lit(None).cast("string")
+        raw = cell(mapping[f]) if mapping.get(f) else F.lit(None).cast("string")
         made[f"s_{f}"] = (T.identifier if f in ID_FIELDS else T.value)(raw, unicode) if mapping.get(f) else raw
     return rows.withColumns(made)
 
 
 def row_fingerprint(columns: dict[str, str], unicode: bool = True) -> Column:
     """Digest of a row's values under their normal headers."""
-    return T.digest(T.json_object({"normalized_header_values": T.json_object({h: T.json_text(F.col(f"`{c}`").cast("string"), unicode) for c, h in columns.items()})}))
+    return T.digest(T.json_object({"normalized_header_values": T.json_object({h: T.json_text(cell(c), unicode) for c, h in columns.items()})}))
 
 
 def with_record_ids(rows: DataFrame, manifest_id: str, by_source: bool, columns: dict[str, str], unicode: bool = True) -> DataFrame:
@@ -82,7 +99,7 @@ def lineage(rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
     used = [f for f in BARCODE_FIELDS if mapping.get(f)]
     if not used:
         return rows.withColumn("lineage", barcode.parsed(F.lit(None).cast("string")))
-    raw = [F.col(f"`{mapping[f]}`").cast("string") for f in used]
+    raw = [cell(mapping[f]) for f in used]
     # only what stands before the first good one is looked at
     bad, found = F.lit(False), F.lit(False)
     for c in raw:
@@ -93,18 +110,19 @@ def lineage(rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 def build(rows: DataFrame, mapping: dict[str, str], partition: str, manifest_id: str, columns: dict[str, str] | None = None, unicode: bool = True) -> Records:
-    """Records of one side from a table with source_row_number and raw columns.
+    """Records of one side from a table with source_row_number and raw columns, or with those in a struct ``raw``.
 
     ``columns``: the manifest's headers and their normal forms. A value that disagrees with the one its barcode gives
     stays on the record, and both are marked conflicted.
     """
-    columns = columns or {c: T.plain_header(c) for c in rows.columns if c != "source_row_number"}
+    rows = packed(rows)
+    columns = columns or {c: T.plain_header(c) for c in rows.schema["raw"].dataType.names}
     rows = lineage(semantic(rows, mapping, unicode), mapping)
     rows = with_record_ids(rows, manifest_id, bool(mapping.get("source_record_id")), columns, unicode)
     derived = {"patient_id": T.identifier(F.col("lineage.derived_patient_id"), False), "specimen_id": T.identifier(F.col("lineage.derived_specimen_id"), False)}
     own = rows.withColumns({f"d_{f}": derived.get(f, F.lit(None).cast("string")) for f in ID_FIELDS})
     values = {f: F.coalesce(f"s_{f}", f"d_{f}") for f in ID_FIELDS}
-    raw_digest = T.digest(T.json_object({"raw_values": T.json_object({c: T.json_text(F.col(f"`{c}`").cast("string"), unicode) for c in columns})}))
+    raw_digest = T.digest(T.json_object({"raw_values": T.json_object({c: T.json_text(cell(c), unicode) for c in columns})}))
     normal = T.digest(T.json_object({"semantic_values": T.json_object({f: T.json_text(F.col(f"s_{f}"), unicode) for f in FIELDS}), "lineage": T.json_text(F.col("lineage.raw_identifier"), unicode)}))
     records = own.select(
         "record_id", "record_id_method", F.lit(manifest_id).alias("manifest_id"), "source_row_number", F.lit(partition).alias("partition"),
@@ -130,7 +148,7 @@ def partition_warnings(rows: DataFrame, mapping: dict[str, str], partition: str,
     """Rows whose partition column disagrees with their side; the side never changes."""
     if not mapping.get("partition"):
         return rows.select("source_row_number", F.lit("").alias("warning")).limit(0)
-    raw = F.col(f"`{mapping['partition']}`").cast("string")
+    raw = cell(mapping["partition"])
     side = T.split_side(raw, unicode)
     detail = F.when(side.isNull(), F.lit("unsupported two-partition value")).otherwise(F.concat(F.lit("value indicates "), side))
     said = F.concat(F.lit(f"manifest {manifest_id} row "), F.col("source_row_number").cast("string"), F.lit(f" partition column conflicts with assigned {partition}: "), detail)

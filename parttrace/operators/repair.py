@@ -22,11 +22,13 @@ from .components import connected
 from .policy import CONFIRMED, SplitPolicy
 
 MISSING_LABEL = "__missing__"
+#: What every row of a proposal says.
+STATEMENT = "A proposal for review; no data were moved."
 
 
 @dataclass(frozen=True)
 class Repair:
-    """components: one row each with its proposed side; records: one row each; metrics and messages."""
+    """components: one row each with its proposed side; records: one row each; ties: the findings of each component."""
 
     policy_profile: str
     components: DataFrame
@@ -35,6 +37,7 @@ class Repair:
     excluded: list[str]
     metrics: dict
     tradeoffs: list[str]
+    ties: DataFrame
 
 
 def included(evaluated: DataFrame, by_institution: bool = False):
@@ -98,6 +101,7 @@ def propose(records: DataFrame, evaluated: DataFrame, members: DataFrame, policy
     dealt = ordered.withColumn("proposed_partition", F.when(side, "train").otherwise("test"))
     dealt = settled(dealt.withColumn("n_moved", F.when(side, F.col("n_test")).otherwise(F.col("n_train"))))
     out = of.join(dealt.select("root", "component_id", "proposed_partition", "cross_partition"), "root")
+    _complete(out, records)
     out = out.select("record_id", "component_id", F.col("partition").alias("original_partition"), "proposed_partition", (F.col("partition") != F.col("proposed_partition")).alias("moved"), "label", "cross_partition")
     totals = dealt.agg(F.sum("n_moved").alias("moved"), F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"), F.count_if("cross_partition").alias("crossing")).first()
     after: dict[str, dict[str, int]] = {"train": {}, "test": {}}
@@ -108,7 +112,29 @@ def propose(records: DataFrame, evaluated: DataFrame, members: DataFrame, policy
         "original_train_fraction": train / total, "proposed_train_fraction": count / total, "target_train_fraction": fraction, "records_moved": totals["moved"], "component_count": totals["components"],
         "largest_component_size": totals["largest"], "label_distribution_before": json.dumps(overall, sort_keys=True), "label_distribution_after": json.dumps(after, sort_keys=True),
     }
-    return Repair(policy.name, dealt, out, sorted(r[0] for r in kinds if r["yes"]), sorted(r[0] for r in kinds if r["no"]), metrics, tradeoffs(metrics, overall, totals, goal, count, {r[0] for r in kinds}, by_institution))
+    return Repair(policy.name, dealt, out, sorted(r[0] for r in kinds if r["yes"]), sorted(r[0] for r in kinds if r["no"]), metrics, tradeoffs(metrics, overall, totals, goal, count, {r[0] for r in kinds}, by_institution), confirming(of, evaluated, by_institution).join(dealt.select("root", "component_id"), "root").select("component_id", "finding_id"))
+
+
+def _complete(dealt: DataFrame, records: DataFrame) -> None:
+    """Every record is dealt to a side once."""
+    counts = records.select("record_id", F.lit(1).alias("there"), F.lit(0).alias("dealt")).unionByName(dealt.select("record_id", F.lit(0).alias("there"), F.col("proposed_partition").isNotNull().cast("int").alias("dealt")))
+    wrong = counts.groupBy("record_id").agg(F.sum("there").alias("there"), F.sum("dealt").alias("dealt")).where("there != 1 or dealt != 1").limit(1).collect()
+    if wrong:
+        raise RepairError(f"record {wrong[0]['record_id']} is not dealt to a side exactly once")
+
+
+def confirming(of: DataFrame, evaluated: DataFrame, by_institution: bool = False) -> DataFrame:
+    """(root, finding_id) of the findings that tie each component's records together."""
+    ties = evaluated.where(included(evaluated, by_institution)).select("finding_id", F.col("first_record_id").alias("record_id"))
+    return ties.join(of.select("record_id", "root"), "record_id").select("root", "finding_id")
+
+
+def rows(fixed: Repair, records: DataFrame) -> DataFrame:
+    """A proposal as its CSV file has it: one row per record, with the findings that tie its component, joined by ;."""
+    ids = fixed.ties.groupBy("component_id").agg(F.concat_ws(";", F.array_sort(F.collect_set("finding_id"))).alias("confirming_finding_ids"))
+    about = records.select("record_id", F.col("manifest_id").alias("source_manifest_id"), "source_row_number", F.col("label").alias("own_label"))
+    out = fixed.records.join(about, "record_id").join(ids, "component_id", "left")
+    return out.withColumns({"label": F.col("own_label"), "confirming_finding_ids": F.coalesce("confirming_finding_ids", F.lit("")), "proposal_statement": F.lit(STATEMENT)})
 
 
 def _tie(open_ones: DataFrame, of: DataFrame, spans: list, ordered: DataFrame, overall: dict[str, int], fraction: float) -> int | None:

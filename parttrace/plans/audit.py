@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -21,6 +22,14 @@ from . import report as R
 COLUMN_OPTIONS = {"patient_column": "patient_id", "specimen_column": "specimen_id", "slide_column": "slide_id", "image_column": "image_path", "institution_column": "institution_id", "label_column": "class_label", "record_id_column": "source_record_id"}
 
 
+def _same(a: str, b: str) -> bool:
+    """One file under two names, links included."""
+    try:
+        return os.path.samefile(a, b)
+    except OSError:  # one isn't there, or isn't a local file
+        return Path(a).resolve() == Path(b).resolve()
+
+
 @dataclass(frozen=True)
 class Config:
     train: str
@@ -40,10 +49,9 @@ class Config:
     columns: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
-        paths = [str(Path(p).resolve()) for p in (self.train, self.test)]
-        if paths[0] == paths[1]:
+        if _same(self.train, self.test):
             raise ConfigError("train and test are the same file")
-        if str(Path(self.output).resolve()) in paths:
+        if any(_same(self.output, p) for p in (self.train, self.test)):
             raise ConfigError("the output is an input")
         if self.target_train_fraction is not None and not 0 < self.target_train_fraction < 1:
             raise ConfigError("target_train_fraction must be strictly between 0 and 1")
@@ -67,6 +75,7 @@ class Result:
     paths: dict[str, str]
     findings: DataFrame
     records: DataFrame
+    evidence: DataFrame
 
 
 def run(spark: SparkSession, config: Config, client=None) -> Result:
@@ -78,7 +87,7 @@ def run(spark: SparkSession, config: Config, client=None) -> Result:
     if client is not None:
         from .assist import assist
 
-        maps = [assist(m, k, client) for m, k in zip(sides, maps, strict=True)]
+        maps = assist(sides, maps, client)
     built = [records.build(m.rows, k.columns, m.partition, m.manifest_id, m.columns) for m, k in zip(sides, maps, strict=True)]
     both = built[0].union(built[1])
     rec = settled(both.records)
@@ -91,7 +100,8 @@ def run(spark: SparkSession, config: Config, client=None) -> Result:
     judged = settled(policy.evaluate(found.findings, rules))
     totals = policy.summary(judged).first().asDict()
     fixed = repair.propose(rec, judged, found.members, rules, config.target_train_fraction, config.group_by_institution) if config.repair else None
-    rows = R.findings_rows(judged, found.members)
+    proof = settled(detect.evidence(found.members, rec, prints))
+    rows = settled(R.findings_rows(judged, proof))
     warned = sorted({w for m in sides for w in m.warnings} | {r["warning"] for r in both.warnings.select("warning").distinct().collect()} | set(mapping.pair_messages(*maps)) | ({"no image root: images were not examined"} if prints is None else set()))
     by_type = {r[0]: r[1] for r in judged.groupBy("finding_type").count().collect()}
     report = {
@@ -100,14 +110,44 @@ def run(spark: SparkSession, config: Config, client=None) -> Result:
         "exit_code": totals["exit_code"],
         "inputs": [{"manifest_id": m.manifest_id, "partition": m.partition, "path": m.path, "sha256": m.sha256, "row_count": m.row_count, "encoding": m.encoding, "newline": m.newline, "headers": m.headers} for m in sides],
         "mapping": {m.partition: {f: asdict(c) for f, c in k.choices.items()} for m, k in zip(sides, maps, strict=True)},
-        "summary": {k: v for k, v in totals.items() if k != "exit_code"} | {"records": rec.count(), "conflicts": both.conflicts.count(), "findings_by_type": by_type, "edges_by_type": {r[0]: r[1] for r in graph.edge_counts(found.findings).collect()}, "largest_component": graph.largest_component(found.findings, found.members)} | (pictures.collection(prints).first().asDict() if prints is not None else {}),
-        "findings": [r.asDict() for r in rows.orderBy("finding_id").collect()],
+        "summary": {k: v for k, v in totals.items() if k != "exit_code"} | metrics(rec, both.conflicts, maps, by_type, totals, fixed) | {"findings_by_type": by_type, "edges_by_type": {r[0]: r[1] for r in graph.edge_counts(found.findings).collect()}, "largest_component": graph.largest_component(found.findings, found.members)} | (pictures.collection(prints).first().asDict() if prints is not None else {}),
         "repair": None if fixed is None else {"included": fixed.included, "excluded": fixed.excluded, "metrics": fixed.metrics, "tradeoffs": fixed.tradeoffs},
         "warnings": warned,
+        "assistance": "disabled" if client is None else "applied" if any(c.source == "assisted" for m in maps for c in m.choices.values()) else "enabled; nothing applied",
         "reproducibility": {"config_sha256": config.digest(), "detector_version": detect.DETECTOR_VERSION, "spark": pyspark.__version__, "thresholds": {"phash": config.phash_threshold, "dhash": config.dhash_threshold, "max_image_pairs": config.max_image_pairs}},
     }
-    paths = R.artifacts(folder, report, rows, fixed.records if fixed else None)
-    return Result(totals["exit_code"], report, paths, judged, rec)
+    paths = R.artifacts(folder, report, rows, repair.rows(fixed, rec) if fixed else None)
+    return Result(totals["exit_code"], report, paths, judged, rec, proof)
+
+
+#: Metrics that count the findings of one type.
+COUNTED = {
+    "patient_overlap_findings": "confirmed_patient_overlap",
+    "specimen_overlap_findings": "confirmed_specimen_overlap",
+    "slide_overlap_findings": "confirmed_slide_overlap",
+    "institution_warnings": "institution_overlap",
+    "byte_duplicate_findings": "confirmed_byte_content_duplicate",
+    "pixel_duplicate_findings": "confirmed_pixel_content_duplicate",
+    "image_similarity_candidates": "image_similarity_candidate",
+    "image_input_quality_findings": "image_read_error",
+    "resource_limit_findings": "resource_limit_exceeded",
+}
+
+
+def metrics(rec: DataFrame, conflicts: DataFrame, maps: list[mapping.Mapping], by_type: dict[str, int], totals: dict, fixed: repair.Repair | None) -> dict[str, int]:
+    """The counts of an audit's summary."""
+    sides = {r[0]: r[1] for r in rec.groupBy("partition").count().collect()}
+    return {
+        "train_records": sides.get("train", 0),
+        "test_records": sides.get("test", 0),
+        **{name: by_type.get(kind, 0) for name, kind in COUNTED.items()},
+        "policy_violations": totals["n_violation"],
+        "allowed_overlaps": totals["n_allowed_overlap"],
+        "review_items": totals["n_review_item"],
+        "unresolved_schema_fields": sum(len(m.unresolved) for m in maps),
+        "lineage_conflicts": conflicts.count(),
+        "moved_records": fixed.metrics["records_moved"] if fixed else 0,
+    }
 
 
 def overlaps(train: DataFrame, test: DataFrame, columns: dict[str, str], rules: policy.SplitPolicy | None = None) -> DataFrame:
@@ -121,5 +161,24 @@ def overlaps(train: DataFrame, test: DataFrame, columns: dict[str, str], rules:
 
 def summary_lines(result: Result) -> list[str]:
     """What the terminal shows."""
-    s = result.report["summary"]
-    return [f"status: {result.report['status']}", *(f"{k}: {s[k]}" for k in sorted(s) if not isinstance(s[k], dict)), *(f"  {k}: {v}" for k, v in sorted(s["findings_by_type"].items())), *(f"{k}: {v}" for k, v in sorted(result.paths.items()))]
+    s, report = result.report["summary"], result.report
+    shown = {
+        "Train records": s["train_records"],
+        "Test records": s["test_records"],
+        "Patient overlaps": s["patient_overlap_findings"],
+        "Specimen overlaps": s["specimen_overlap_findings"],
+        "Slide overlaps": s["slide_overlap_findings"],
+        "Byte duplicates": s["byte_duplicate_findings"],
+        "Pixel duplicates": s["pixel_duplicate_findings"],
+        "Similarity candidates": s["image_similarity_candidates"],
+        "Institution warnings": s["institution_warnings"],
+        "Image input issues": s["image_input_quality_findings"],
+        "Policy violations": s["policy_violations"],
+        "Review items": s["review_items"],
+        "Repair proposal": "generated" if report["repair"] else "not requested",
+        "Schema assistance": report["assistance"],
+        "Output": Path(result.paths["report_json"]).parent,
+        "Artifacts": ", ".join(Path(p).name for p in result.paths.values()),
+        "Status": "POLICY VIOLATIONS" if result.exit_code else "PASSED",
+    }
+    return ["Split audit complete", *(f"{k}: {v}" for k, v in shown.items())]

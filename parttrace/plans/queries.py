@@ -341,10 +341,121 @@ def q_cross_counts(spark: SparkSession, d: str) -> DataFrame:
     return repair.components(df, judged, found.members)[1].agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest"), F.count_if("cross_partition").alias("n_crossing"))
 
 
-@_query(None)
-def q_repair_assignment(spark: SparkSession, d: str) -> DataFrame:
+#: The greedy fold, component by component: train where that brings the train count nearer its goal; a tie goes by label
+#: deviation, then moved records, then to train. ``st`` counts labels in train so far.
+_FOLD = f"""{_COMPONENTS.replace("WITH l AS", "WITH RECURSIVE l AS", 1)},
+lab AS (SELECT list(label ORDER BY label) AS names, list(n::DOUBLE ORDER BY label) AS overall FROM (SELECT label, count(*) AS n FROM c GROUP BY label)),
+tot AS (SELECT count(*) FILTER (partition = 'train') / count(*) AS fraction, (count(*) FILTER (partition = 'train'))::DOUBLE AS goal, count(*) AS n FROM c),
+own AS (SELECT root, map(list(label), list(n::DOUBLE)) AS by_label FROM (SELECT root, label, count(*) AS n FROM c GROUP BY root, label) GROUP BY root),
+o AS (SELECT root, size, n_train, n_test, crossing, list_transform(names, lambda x: coalesce(by_label[x], 0)) AS ns, row_number() OVER (ORDER BY size DESC, crossing DESC, root) AS k
+  FROM (SELECT root, count(*) AS size, count(*) FILTER (partition = 'train') AS n_train, count(*) FILTER (partition = 'test') AS n_test, bool_or(tied)::INT AS crossing FROM c GROUP BY root) JOIN own USING (root), lab),
+f AS (SELECT 0::BIGINT AS k, 0::BIGINT AS cnt, list_transform(overall, lambda x: 0::DOUBLE) AS st, NULL::VARCHAR AS root, false AS train FROM lab
+  UNION ALL
+  SELECT k, cnt + CASE WHEN go THEN size ELSE 0 END, CASE WHEN go THEN list_transform(st, lambda x, i: x + ns[i]) ELSE st END, root, go FROM (
+    SELECT o.k, f.cnt, f.st, o.root, o.size, o.ns, CASE
+      WHEN abs(f.cnt + o.size - goal) < abs(f.cnt - goal) THEN true
+      WHEN abs(f.cnt + o.size - goal) > abs(f.cnt - goal) THEN false
+      ELSE (round(list_sum(list_transform(f.st, lambda x, i: abs(x + o.ns[i] - overall[i] * fraction) - abs(x - overall[i] * fraction))), 9) < 0)
+        OR (round(list_sum(list_transform(f.st, lambda x, i: abs(x + o.ns[i] - overall[i] * fraction) - abs(x - overall[i] * fraction))), 9) = 0 AND o.n_test <= o.n_train) END AS go
+    FROM f JOIN o ON o.k = f.k + 1, lab, tot)),
+dealt AS (SELECT c.record_id, c.root, c.partition, CASE WHEN f.train THEN 'train' ELSE 'test' END AS proposed, c.label, c.tied FROM c JOIN f ON f.root = c.root)
+"""
+
+
+def _proposed(spark: SparkSession, d: str) -> repair.Repair:
     df, found, judged = _linked(spark, d)
-    return repair.propose(df, judged, found.members, policy.profile()).records
+    return repair.propose(df, judged, found.members, policy.profile())
+
+
+@_query(f"{_FOLD} SELECT record_id, partition AS original_partition, proposed AS proposed_partition, partition <> proposed AS moved, label, bool_or(tied) OVER (PARTITION BY root) AS cross_partition FROM dealt")
+def q_repair_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return _proposed(spark, d).records.drop("component_id")
+
+
+@_query(f"{_FOLD} SELECT proposed AS proposed_partition, label, count(*) AS n FROM dealt GROUP BY ALL")
+def q_labels_after(spark: SparkSession, d: str) -> DataFrame:
+    return _proposed(spark, d).records.groupBy("proposed_partition", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"{_FOLD} SELECT (SELECT fraction FROM tot) AS original_train_fraction, avg((proposed = 'train')::INT) AS proposed_train_fraction, (SELECT fraction FROM tot) AS target_train_fraction, count(*) FILTER (partition <> proposed) AS records_moved, count(DISTINCT root) AS component_count, (SELECT max(size) FROM o) AS largest_component_size FROM dealt")
+def q_repair_metrics(spark: SparkSession, d: str) -> DataFrame:
+    m = _proposed(spark, d).metrics
+    kinds = {"original_train_fraction": "double", "proposed_train_fraction": "double", "target_train_fraction": "double", "records_moved": "long", "component_count": "long", "largest_component_size": "long"}
+    return spark.createDataFrame([tuple(m[k] for k in kinds)], ", ".join(f"{k} {v}" for k, v in kinds.items()))
+
+
+@_query(f"{_COMPONENTS}, t AS (SELECT root, count(*) FILTER (tied) AS n FROM c GROUP BY root) SELECT count(*) AS n_components, count(*) FILTER (n > 0) AS n_confirmed FROM t")
+def q_confirming(spark: SparkSession, d: str) -> DataFrame:
+    fixed = _proposed(spark, d)
+    return fixed.components.select("component_id").join(fixed.ties.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")), "component_id", "left").agg(F.count(F.lit(1)).alias("n_components"), F.count_if(F.col("n") > 0).alias("n_confirmed"))
+
+
+@_query(f"SELECT 'confirmed_patient_overlap' AS finding_type, count(*) AS n, count(*) AS n_ids, count(*) AS n_formed FROM ({_P}) UNION ALL SELECT 'institution_overlap', count(*), count(*), count(*) FROM ({_I})")
+def q_finding_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids are one per finding and have their form."""
+    found = _all_orders(spark, d)[1].findings
+    formed = F.col("finding_id").rlike("^finding_") & F.col("finding_id").rlike("_[0-9a-f]{16}$") & F.col("finding_id").contains(F.col("finding_type"))
+    return found.groupBy("finding_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("finding_id").alias("n_ids"), F.count_if(formed).alias("n_formed"))
+
+
+@_query("SELECT 'image_read_error' AS finding_type, 'warning' AS confirmation_level, 'd' || doc_id AS first_record_id, lang AS matched_value, CASE WHEN doc_id % 2 = 0 THEN 'unreadable' ELSE 'missing' END AS status FROM documents WHERE doc_id % 10 IN (2, 7)")
+def q_input_quality(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 10
+    prints = _table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("record_id"), _side(F.col("doc_id") % 5 != 0), F.when(k == 2, "unreadable").when(k == 7, "missing").otherwise("resolved").alias("status"), F.lit("e").alias("error_code"), F.col("lang").alias("source_image_path"))
+    return detect.input_quality(prints).findings.select("finding_type", "confirmation_level", "first_record_id", "matched_value", F.col("metrics")["status"].alias("status"))
+
+
+@_query(f"SELECT record_id FROM ({_ORDERS}) JOIN ({_P}) ON patient_id = v WHERE substr(record_id, 2)::BIGINT % 5 = 0")
+def q_lost_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members that a table of records without every fifth order doesn't have."""
+    df, found, _ = _linked(spark, d)
+    return graph.lost(found.members, df.where(F.substring("record_id", 2, 20).cast("long") % 5 != 0)).select("record_id")
+
+
+@_query(f"SELECT max(n_records) AS largest, count(*) AS n_components FROM ({_P})")
+def q_largest_component(spark: SparkSession, d: str) -> DataFrame:
+    _, found, _ = _linked(spark, d)
+    return graph.largest(found.findings, found.members)
+
+
+@_query(f"SELECT g.first_record_id AS src, l.record_id AS dst, 'confirmed_patient_overlap' AS relationship_type, 'confirmed' AS confirmation_level FROM ({_ORDERS}) l JOIN ({_P}) g ON l.patient_id = g.v WHERE l.record_id <> g.first_record_id")
+def q_star_edges(spark: SparkSession, d: str) -> DataFrame:
+    _, found, _ = _linked(spark, d)
+    return graph.star_edges(found.findings, found.members).select("src", "dst", "relationship_type", "confirmation_level")
+
+
+@_query(f"SELECT v AS matched_value, o.record_id, 'm' AS source_manifest_id, substr(o.record_id, 2)::BIGINT AS source_row_number, partition AS assigned_partition, 'patient_id' AS matched_field FROM ({_ORDERS}) o JOIN ({_P}) ON patient_id = v")
+def q_evidence(spark: SparkSession, d: str) -> DataFrame:
+    df, found, _ = _linked(spark, d)
+    none = F.lit(None).cast("string")
+    df = df.withColumns({"manifest_id": F.lit("m"), "source_row_number": F.substring("record_id", 2, 20).cast("long"), "image_path": none, "lineage": none})
+    return detect.evidence(found.members, df).select("matched_value", "record_id", "source_manifest_id", "source_row_number", "assigned_partition", "matched_field")
+
+
+_CONFLICT = "'{\"derived_value\":\"' || derived || '\",\"direct_value\":\"' || direct || '\",\"parser_version\":\"' || version || '\",\"record_id\":\"' || record_id || '\",\"semantic_field\":\"patient_id\"}'"
+
+
+def _manifest(spark: SparkSession, d: str) -> records.Records:
+    """Customers under ids of their own, with headers that our own columns have too."""
+    rows = _coded(spark, d).select("source_row_number", F.struct(F.concat(F.lit("c"), F.col("source_row_number").cast("string")).alias("record_id"), F.col("patient").alias("lineage"), F.col("slide").alias("source_row_number")).alias("raw"))
+    return records.build(rows, {"source_record_id": "record_id", "slide_id": "source_row_number"}, "train", "m", unicode=False)
+
+
+_RAW = _CODED.replace("CASE WHEN code IS NOT NULL THEN 'tcga-02-'", "CASE c_custkey % 4 WHEN 0 THEN 'TCGA-02-' || four WHEN 1 THEN ' tcga-02-' || four || '-01a ' WHEN 2 THEN 'TCGA-02-' || four || '-01A-01D-0001-01' ELSE 's' || four END AS slide, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'other' ELSE 'TCGA-02-' || four END AS patient, CASE WHEN code IS NOT NULL THEN 'tcga-02-'")
+
+
+@_query(f"""SELECT c_custkey, sha256('{{"raw_values":{{"lineage":' || coalesce('"' || patient || '"', 'null') || ',"record_id":"c' || c_custkey || '","source_row_number":"' || slide || '"}}}}') AS raw_values_digest FROM ({_RAW})""")
+def q_raw_digests(spark: SparkSession, d: str) -> DataFrame:
+    return _manifest(spark, d).records.select(F.col("source_row_number").alias("c_custkey"), "raw_values_digest")
+
+
+@_query(f"""WITH x AS (SELECT *, 'rec_src_m_' || substr(sha256('"' || lower(c_name) || '"'), 1, 16) AS record_id, '{barcode.PARSER_VERSION}' AS version FROM ({_CODED}) JOIN (SELECT c_custkey, c_name FROM customer) USING (c_custkey) WHERE direct <> derived AND direct NOT LIKE 'tcga%')
+SELECT c_custkey, 'linconf_' || substr(sha256({_CONFLICT}), 1, 24) AS conflict_id, direct AS direct_value, derived AS derived_value FROM x""")
+def q_conflict_ids(spark: SparkSession, d: str) -> DataFrame:
+    names = _table(spark, d, "customer").select(F.col("c_custkey").alias("source_row_number"), "c_name")
+    rows = _coded(spark, d).withColumn("patient", F.when(F.col("patient") == "other", "other").when(F.col("patient").isNotNull(), F.lower("patient"))).join(names, "source_row_number")
+    b = records.build(rows, {"source_record_id": "c_name", "patient_id": "patient", "slide_id": "slide"}, "train", "m", unicode=False)
+    return b.conflicts.where("semantic_field = 'patient_id'").join(b.records.select("record_id", "source_row_number"), "record_id").select(F.col("source_row_number").alias("c_custkey"), "conflict_id", "direct_value", "derived_value")
 
 
 @_query(f"SELECT 'confirmed_patient_overlap' AS finding_type, 'confirmed' AS confirmation_level, 'violation' AS policy_outcome, 'test;train' AS partitions, (SELECT string_agg(record_id, ';' ORDER BY record_id) FROM ({_ORDERS}) o WHERE o.patient_id = p.v) AS record_ids, v AS matched_value FROM ({_P}) p")

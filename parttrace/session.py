@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .errors import ConfigError
+
 
 def session(master: str = "local[*]", partitions: int = 8) -> SparkSession:
     conf = {"spark.sql.shuffle.partitions": partitions, "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false"}
@@ -15,6 +17,8 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` checkpointed to the folder the cluster shares; one is set only where the session names none."""
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ConfigError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir("/tmp/checkpoints/parttrace")
     return df.checkpoint(eager=True)
 

@@ -32,6 +32,55 @@ def size_of(content: bytes, kind: str) -> tuple[int, int] | None:
     if kind == "BMP" and len(content) >= 26:
         w, h = struct.unpack("<ii", content[18:26])
         return abs(w), abs(h)
+    reader = {"JPEG": _jpeg_size, "TIFF": _tiff_size, "WEBP": _webp_size}.get(kind)
+    try:
+        return reader(content) if reader else None
+    except (struct.error, IndexError):
+        return None
+
+
+def _jpeg_size(content: bytes) -> tuple[int, int] | None:
+    """From the first frame header among the segments."""
+    at = 2
+    while at + 9 <= len(content):
+        if content[at] != 0xFF:
+            return None
+        mark = content[at + 1]
+        if mark == 0xFF or 0xD0 <= mark <= 0xD9 or mark == 1:  # filling, and marks without a body
+            at += 1 if mark == 0xFF else 2
+            continue
+        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            h, w = struct.unpack(">HH", content[at + 5 : at + 9])
+            return w, h
+        at += 2 + struct.unpack(">H", content[at + 2 : at + 4])[0]
+    return None
+
+
+def _tiff_size(content: bytes) -> tuple[int, int] | None:
+    """From the first directory's tags of width and height."""
+    order = "<" if content[:2] == b"II" else ">"
+    (at,) = struct.unpack(f"{order}I", content[4:8])
+    (n,) = struct.unpack(f"{order}H", content[at : at + 2])
+    found = {}
+    for k in range(n):
+        entry = content[at + 2 + 12 * k : at + 14 + 12 * k]
+        tag, kind = struct.unpack(f"{order}HH", entry[:4])
+        if tag in (256, 257):
+            found[tag] = struct.unpack(f"{order}{'H' if kind == 3 else 'I'}", entry[8 : 10 if kind == 3 else 12])[0]
+    return (found[256], found[257]) if len(found) == 2 else None
+
+
+def _webp_size(content: bytes) -> tuple[int, int] | None:
+    """From the first chunk: lossy, lossless or extended."""
+    kind = content[12:16]
+    if kind == b"VP8X":
+        return 1 + int.from_bytes(content[24:27], "little"), 1 + int.from_bytes(content[27:30], "little")
+    if kind == b"VP8L":
+        bits = int.from_bytes(content[21:25], "little")
+        return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+    if kind == b"VP8 ":
+        w, h = struct.unpack("<HH", content[26:30])
+        return w & 0x3FFF, h & 0x3FFF
     return None
 
 
@@ -52,7 +101,8 @@ def _png(content: bytes) -> np.ndarray:
         at += 12 + n
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
     step = channels * depth // 8
-    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, 1 + width * step)
+    size = height * (1 + width * step)  # no more than the header says is ever inflated
+    raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(data), size), np.uint8).reshape(height, 1 + width * step)
     out = np.zeros((height, width * step), np.uint8)
     above = np.zeros(width * step, np.int64)
     for y in range(height):
@@ -62,14 +112,7 @@ def _png(content: bytes) -> np.ndarray:
         elif rule == 1:
             line = np.cumsum(line.reshape(width, step), 0).ravel()
         elif rule in (3, 4):
-            for x in range(len(line)):
-                a, b, c = (line[x - step] & 255 if x >= step else 0), above[x], (above[x - step] if x >= step else 0)
-                if rule == 3:
-                    line[x] += (a + b) // 2
-                else:
-                    p = a + b - c
-                    line[x] += min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                line[x] &= 255
+            line = np.frombuffer((_averaged if rule == 3 else _paeth)(raw[y, 1:].tobytes(), above.astype(np.uint8).tobytes(), step), np.uint8).astype(np.int64)
         above = line & 255
         out[y] = above
     pixels = out.reshape(height, width, step)
@@ -80,6 +123,27 @@ def _png(content: bytes) -> np.ndarray:
     return pixels[:, :, :3] if channels >= 3 else np.repeat(pixels[:, :, :1], 3, 2)
 
 
+def _averaged(line: bytes, above: bytes, step: int) -> bytes:
+    """Each byte plus the mean of the one before it and the one above."""
+    out = bytearray(line)
+    for x, up in enumerate(above):
+        out[x] = (out[x] + ((out[x - step] if x >= step else 0) + up >> 1)) & 255
+    return bytes(out)
+
+
+def _paeth(line: bytes, above: bytes, step: int) -> bytes:
+    """Each byte plus whichever of left, above and above left is nearest to left + above - above left, in that order."""
+    out = bytearray(line)
+    left = corner = 0
+    for x, up in enumerate(above):
+        if x >= step:
+            left, corner = out[x - step], above[x - step]
+        a, b = up - corner, left - corner
+        by_left, by_up, by_corner = abs(a), abs(b), abs(a + b)
+        out[x] = (out[x] + (left if by_left <= by_up and by_left <= by_corner else up if by_up <= by_corner else corner)) & 255
+    return bytes(out)
+
+
 def _bmp(content: bytes) -> np.ndarray:
     start, = struct.unpack("<I", content[10:14])
     w, h, _, bits, packed = struct.unpack("<iiHHI", content[18:34])
@@ -173,7 +237,8 @@ def fingerprint(content: bytes, max_pixels: int = MAX_PIXELS, decoder=decode) ->
 def fingerprints(records: DataFrame, root: str | None, max_pixels: int = MAX_PIXELS, decoder=decode) -> DataFrame | None:
     """Fingerprints of the records' images below a root; None without one.
 
-    Paths are taken below the root, with / for a backslash; those that leave it are outside_root and never opened.
+    Paths are taken below the root, with / for a backslash; those that leave it are outside_root and never opened, nor are
+    links that lead out of a local root.
     """
     if root is None:
         return None
@@ -187,13 +252,26 @@ def fingerprints(records: DataFrame, root: str | None, max_pixels: int = MAX_PIX
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     schema = "relative string, byte_sha256 string, status string, image_format string, width int, height int, pixel_sha256 string, phash long, dhash long, error_code string"
 
+    def leaves(relative: str) -> bool:
+        import os
+
+        if not full.startswith("file:"):
+            return False
+        top = os.path.realpath(full.removeprefix("file:").replace("//", "/"))
+        return os.path.commonpath([top, os.path.realpath(os.path.join(top, relative))]) != top
+
     def rows(batches):
         import hashlib
 
         import pandas as pd
 
         for pdf in batches:
-            made = [{"relative": r, "byte_sha256": hashlib.sha256(c).hexdigest()} | fingerprint(bytes(c), max_pixels, decoder) for r, c in zip(pdf["relative"], pdf["content"], strict=True)]
+            made = []
+            for r, c in zip(pdf["relative"], pdf["content"], strict=True):
+                if leaves(r):
+                    made.append({"relative": r, "status": "outside_root", "error_code": "outside_root"})
+                else:
+                    made.append({"relative": r, "byte_sha256": hashlib.sha256(c).hexdigest()} | fingerprint(bytes(c), max_pixels, decoder))
             yield pd.DataFrame(made, columns=[x.split()[0] for x in schema.split(", ")]).astype({k: "Int64" for k in ("width", "height", "phash", "dhash")})
 
     relative = F.regexp_replace(F.expr(f"substring(path, {len(full) + 2})"), "%20", " ")

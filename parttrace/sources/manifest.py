@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..errors import ManifestError
 from ..functions.text import plain_header
@@ -17,7 +18,7 @@ from ..functions.text import plain_header
 
 @dataclass(frozen=True)
 class Manifest:
-    """Rows with source_row_number and one text column per header, and what is known of the file."""
+    """Rows (source_row_number, raw: a struct of one text per header), and what is known of the file."""
 
     manifest_id: str
     partition: str
@@ -84,9 +85,13 @@ def parse(content: bytes) -> tuple[list[str], list[list[str | None]], list[str],
 
 def read_csv(spark: SparkSession, path: str, partition: str, manifest_id: str | None = None) -> Manifest:
     """One manifest file. It is parsed whole in one task, as quoted cells may hold line breaks; only its head reaches the driver."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        raise ManifestError(f"manifest doesn't exist: {path}")
+    if not store.getFileStatus(at).isFile():
+        raise ManifestError(f"manifest isn't a file: {path}")
     files = spark.read.format("binaryFile").load(path)
-    if files.count() != 1:
-        raise ManifestError(f"manifest isn't one file: {path}")
 
     def head(batches):
         import pyarrow as pa
@@ -113,10 +118,11 @@ def read_csv(spark: SparkSession, path: str, partition: str, manifest_id: str |
                 rows = parse(content)[1]
                 for k in range(0, len(rows), 10_000):
                     part = rows[k : k + 10_000]
-                    columns = [pa.array(range(k, k + len(part)), pa.int64()), *(pa.array([r[c] for r in part], pa.string()) for c in range(len(headers)))]
-                    yield pa.RecordBatch.from_arrays(columns, ["source_row_number", *headers])
+                    raw = pa.StructArray.from_arrays([pa.array([r[c] for r in part], pa.string()) for c in range(len(headers))], headers)
+                    yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part)), pa.int64()), raw], ["source_row_number", "raw"])
 
-    schema = ", ".join(["source_row_number long", *(f"`{h.replace('`', '``')}` string" for h in headers)])
+    raw = StructType([StructField(h, StringType()) for h in headers])
+    schema = StructType([StructField("source_row_number", LongType()), StructField("raw", raw)])
     rows = files.select("content").mapInArrow(cells, schema)
     return Manifest(manifest_id or f"manifest_{partition}", partition, path, rows, headers, about["sha256"], about["n"], about["encoding"], about["newline"], tuple(about["warnings"]))
 
@@ -126,5 +132,5 @@ def from_table(df: DataFrame, partition: str, manifest_id: str | None = None, ro
     headers = [c for c in df.columns if c != row_number]
     check_headers(headers)
     number = F.col(f"`{row_number}`").cast("long") if row_number else F.pmod(F.xxhash64(*(f"`{h}`" for h in headers)), F.lit(1 << 62))
-    rows = df.select(number.alias("source_row_number"), *(F.col(f"`{h}`").cast("string").alias(h) for h in headers))
+    rows = df.select(number.alias("source_row_number"), F.struct(*(F.col(f"`{h}`").cast("string").alias(h) for h in headers)).alias("raw"))
     return Manifest(manifest_id or f"manifest_{partition}", partition, "", rows, headers)

@@ -150,3 +150,31 @@ def test_repair_refuses(spark, sample):
         repair.propose(sample.limit(0), judged, found.members, policy.profile())
     whole = repair.propose(sample, judged, found.members, policy.profile(), 0.5, by_institution=True)
     assert whole.included[-1] == "institution_overlap" and whole.metrics["largest_component_size"] == 3
+
+
+def test_repair_is_complete(spark):
+    """A record that is dealt to no side, or to two, fails the proposal."""
+
+    records = spark.createDataFrame([("a",), ("b",)], "record_id string")
+    dealt = lambda *rows: spark.createDataFrame(rows, "record_id string, proposed_partition string")
+    repair._complete(dealt(("a", "train"), ("b", "test")), records)
+    for rows in ([("a", "train")], [("a", "train"), ("b", None)], [("a", "train"), ("a", "test"), ("b", "test")], [("a", "train"), ("b", "test"), ("c", "test")]):
+        with pytest.raises(RepairError):
+            repair._complete(dealt(*rows), records)
+
+
+def test_similar_beyond_the_limit(spark):
+    """Bands on the narrower hash give the pairs that comparing all gives; two wide thresholds are refused."""
+
+    rnd = random.Random(5)
+    rows = []
+    for k in range(60):
+        p, d = rnd.getrandbits(63), rnd.getrandbits(63)
+        for side in ("train", "test"):
+            flip = sum(1 << b for b in rnd.sample(range(63), rnd.randint(0, 25)))
+            rows.append((f"{side}{k}", side, "resolved", None, None, p ^ flip, d ^ (flip & 0xFFFF)))
+    df = spark.createDataFrame(rows, "record_id string, partition string, status string, byte_sha256 string, pixel_sha256 string, phash long, dhash long")
+    pairs = lambda most: sorted(map(tuple, detect.similar(df, 24, 6, max_pairs=most).collect()))
+    assert pairs(0) == pairs(10**6) and pairs(0)
+    with pytest.raises(ConfigError):
+        detect.similar(df, 20, 20, max_pairs=0)

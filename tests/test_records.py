@@ -44,3 +44,15 @@ def test_partition_warnings(spark):
     df = rows(spark, [("train",), ("TEST",), ("valid",), ("",)], ["split"])
     said = [r["warning"] for r in R.build(df, {"partition": "split"}, "train", "m").warnings.orderBy("source_row_number").collect()]
     assert len(said) == 2 and "value indicates test" in said[0] and "unsupported" in said[1]
+
+
+def test_headers_of_our_own_columns(spark):
+    """Headers that our columns have too change no digest and no id."""
+    import hashlib
+    import json
+
+    raw = {"record_id": "a", "lineage": "b", "source_row_number": "c", "raw": "d", "partition": "e"}
+    df = spark.sql(f"SELECT 7L AS source_row_number, named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)}' for k, v in raw.items())}) AS raw")
+    got = R.build(df, {"source_record_id": "record_id", "patient_id": "lineage"}, "train", "m").records.first()
+    assert got["raw_values_digest"] == hashlib.sha256(json.dumps({"raw_values": raw}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert (got["source_record_id"], got["patient_id"], got["source_row_number"]) == ("a", "b", 7)

@@ -1,3 +1,4 @@
+import csv
 import json
 import struct
 import zlib
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 
 from parttrace import cli
-from parttrace.errors import AuditError, ConfigError, ManifestError, ReportError, SchemaError
+from parttrace.errors import AssistCredentialError, AssistRequestError, AssistResponseError, AuditError, ConfigError, ManifestError, ReportError, SchemaError
 from parttrace.operators import mapping
 from parttrace.plans import assist, audit, report
 from parttrace.sources import images, manifest
@@ -49,7 +50,7 @@ def test_blank_lines_are_rows():
 def test_read_csv(spark, tmp_path):
     (tmp_path / "m.csv").write_bytes(b'id,Name\nx,"a\nb"\ny\n')
     m = manifest.read_csv(spark, str(tmp_path / "m.csv"), "train")
-    assert [tuple(r) for r in m.rows.orderBy("source_row_number").collect()] == [(0, "x", "a\nb"), (1, "y", None)] and m.row_count == 2
+    assert [(r[0], *r["raw"]) for r in m.rows.orderBy("source_row_number").collect()] == [(0, "x", "a\nb"), (1, "y", None)] and m.row_count == 2
     (tmp_path / "bad.csv").write_bytes(b"a\n1,2\n")
     with pytest.raises(ManifestError):
         manifest.read_csv(spark, str(tmp_path / "bad.csv"), "train")
@@ -67,11 +68,42 @@ def test_images_decode_alike():
     assert images.fingerprint(png(rgb)[:60])["status"] == "unreadable"
 
 
+def test_sizes_before_decoding():
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"xx" + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 30, 70) + bytes(20)
+    tiff = b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 256, 4, 1, 90) + struct.pack("<HHIHH", 257, 3, 1, 40, 0)
+    webp = b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + (79).to_bytes(3, "little") + (9).to_bytes(3, "little")
+    for content, kind, size in ((jpeg, "JPEG", (70, 30)), (tiff, "TIFF", (90, 40)), (webp, "WEBP", (80, 10))):
+        assert images.kind_of(content) == kind and images.size_of(content, kind) == size
+        assert images.fingerprint(content, max_pixels=100)["error_code"] == "image_too_large"
+        assert images.size_of(content[:13], kind) is None or kind == "WEBP"
+
+
+def test_png_filters():
+    """Rows under each filter decode to the pixels that they were made from."""
+    rnd = np.random.default_rng(2)
+    rgb = rnd.integers(0, 256, (5, 7, 3), np.uint8)
+    lines = rgb.reshape(5, 21).astype(int)
+    raw = b""
+    for y, rule in enumerate((0, 1, 2, 3, 4)):
+        up = lines[y - 1] if y else np.zeros(21, int)
+        left = np.concatenate([np.zeros(3, int), lines[y][:-3]])
+        corner = np.concatenate([np.zeros(3, int), up[:-3]])
+        p = left + up - corner
+        nearest = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        raw += bytes([rule]) + ((lines[y] - [0 * left, left, up, (left + up) // 2, nearest][rule]) % 256).astype(np.uint8).tobytes()
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    content = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw + bytes(10**6))) + chunk(b"IEND", b"")
+    assert (images.decode(content) == rgb).all()
+
+
 def test_mapping(spark, tmp_path):
     df = spark.createDataFrame([(f"a{k}.png", "train", "xy"[k % 2], f"u{k}", f"p{k % 6}") for k in range(12)], "file string, split_col string, diagnosis_group string, uuid string, patient_id string")
     m = mapping.infer(df, df.columns)
     assert {k: m.columns.get(k) for k in ("image_path", "patient_id", "class_label", "source_record_id")} == {"image_path": "file", "patient_id": "patient_id", "class_label": "diagnosis_group", "source_record_id": "uuid"}
-    assert mapping.infer(df, df.columns, {"patient_id": "SPLIT_COL"}).columns["patient_id"] == "split_col"
+    more = df.withColumn("extra", df.file)
+    assert mapping.infer(more, more.columns, {"patient_id": "EXTRA", "image_path": "file"}).columns["patient_id"] == "extra"
+    with pytest.raises(SchemaError):  # a column that is given for one field and means another
+        mapping.infer(df, df.columns, {"patient_id": "SPLIT_COL"})
     with pytest.raises(SchemaError):
         mapping.infer(df, df.columns, {"patient_id": "nope"})
     with pytest.raises(SchemaError):
@@ -87,15 +119,71 @@ def test_mapping(spark, tmp_path):
 
 
 def test_assist(spark):
-    df = spark.createDataFrame([("a.png", "s1"), ("b.png", "s2")], "image_path string, code string")
-    m = manifest.from_table(df, "train")
-    current = mapping.infer(m.rows, m.headers, require_coverage=False)
-    body = assist.request(m, current)
+    df = spark.createDataFrame([("a.png", "s1", 1), ("b.png", "s2", 2)], "image_path string, code string, other int")
+    sides = [manifest.from_table(df, "train"), manifest.from_table(df.withColumnRenamed("code", "Code "), "test")]
+    maps = [mapping.infer(m.rows, m.headers, {"image_path": "image_path"}, require_coverage=False) for m in sides]
+    maps = [mapping.Mapping({f: c if f == "image_path" else mapping.Choice() for f, c in k.choices.items()}) for k in maps]
+    body = assist.request(sides, maps)
     assert "s1" not in json.dumps(body) and len(assist.request_digest(body)) == 64
-    asked = [{"field": "patient_id", "column": "code", "confidence": 0.9}, {"field": "slide_id", "column": "x", "confidence": 0.9}, {"field": "image_path", "column": "code", "confidence": 1}, {"field": "label", "column": "code"}, {"field": "specimen_id", "column": "code", "confidence": 0.2}]
-    accepted, refused = assist.validate(asked, m, current)
-    assert accepted == {"patient_id": ("code", 0.9)} or "patient_id" in current.columns
-    assert len(refused) >= 4
+    entry = lambda f, a, b, c: {"field": f, "train_column": a, "test_column": b, "confidence": c}
+    asked = [entry("patient_id", "code", "code", 0.9), entry("slide_id", "x", "", 0.9), entry("image_path", "code", "code", 1), entry("label", "code", "code", 0.8), entry("specimen_id", "other", "code", 0.2), entry("patient_id", "other", "other", 0.9)]
+    accepted, refused = assist.validate(asked, sides, maps)
+    assert accepted == {"patient_id": ("code", "Code ", 0.9)}
+    assert refused == {
+        "image_path": ["protected_field"], "label": ["unsupported_field"], "patient_id": ["duplicate_field"], "slide_id": ["train_column_absent", "test_column_missing"], "specimen_id": ["test_column_reused", "low_confidence"],
+    }
+    got = assist.assist(sides, maps, lambda body: asked)
+    assert [k.columns["patient_id"] for k in got] == ["code", "Code "] and got[0].choices["patient_id"].source == "assisted"
+
+    class AuthFailed(Exception):
+        pass
+
+    def refuse(body):
+        raise AuthFailed
+
+    assert assist.assist(sides, maps, refuse) == maps and "credentials" in maps[0].messages[-1]
+    bare = [mapping.Mapping({f: mapping.Choice() for f in k.choices}) for k in maps]
+    for client, kind in ((refuse, AssistCredentialError), (lambda b: [], AssistResponseError), (lambda b: 1 / 0, AssistRequestError)):
+        with pytest.raises(kind):
+            assist.assist(sides, bare, client)
+
+
+def test_credentials():
+    from parttrace.plans.credentials import resolve
+
+    quiet = {"person": True, "say": lambda s: None}
+    assert resolve(False, False).source == "not_requested"
+    assert resolve(True, True, environment={"OPENAI_API_KEY": "k"}).available
+    assert resolve(True, False, environment={}, person=False).stop and not resolve(True, True, environment={}, person=False).stop
+    env: dict[str, str] = {}
+    answers = iter(["?", "o", "y", "p", "p"])
+    keys = iter([" ", "secret"])
+    got = resolve(True, False, page="http://p", environment=env, read=lambda q: next(answers), read_secret=lambda q: next(keys), show_page=lambda p: True, **quiet)
+    assert got.available and got.page_opened and env == {"OPENAI_API_KEY": "secret"} and "secret" not in repr(got)
+    assert resolve(True, False, environment={}, read=lambda q: "c", **quiet).source == "declined"
+    assert resolve(True, True, environment={}, read=lambda q: "q", **quiet).stop and resolve(True, True, environment={}, read=lambda q: "x", **quiet).stop
+
+
+def test_pair_messages(spark):
+    one = mapping.Mapping({"image_path": mapping.Choice("Img", "command_line", 1.0), "patient_id": mapping.Choice("p", "deterministic", 0.9), "slide_id": mapping.Choice()})
+    two = mapping.Mapping({"image_path": mapping.Choice(), "patient_id": mapping.Choice("p", "deterministic", 0.9), "slide_id": mapping.Choice("p", "deterministic", 0.9)})
+    for m in (one, two):
+        m.choices |= {f: mapping.Choice() for f in mapping.FIELDS if f not in m.choices}
+    said = mapping.pair_messages(one, two)
+    assert any("one side only" in s for s in said) and any("given for train only" in s for s in said) and any("only train has" in s for s in said) and any("serves patient_id and slide_id" in s for s in said)
+
+
+def test_manifest_paths(spark, tmp_path):
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder" / "m.csv").write_text("a\n1\n")
+    for path in ("missing.csv", "folder"):
+        with pytest.raises(ManifestError):
+            manifest.read_csv(spark, str(tmp_path / path), "train")
+    (tmp_path / "one.csv").write_text("a\n1\n")
+    (tmp_path / "two.csv").hardlink_to(tmp_path / "one.csv")
+    with pytest.raises(ConfigError):
+        audit.Config(str(tmp_path / "one.csv"), str(tmp_path / "two.csv"), "o")
+    assert cli.main(["audit", "--train", str(tmp_path / "no.csv"), "--test", str(tmp_path / "one.csv"), "--output", str(tmp_path / "o")]) == 1
 
 
 @pytest.fixture
@@ -108,6 +196,8 @@ def manifests(tmp_path):
     near[3, 3] ^= 1
     for name, content in (("a.png", png(one)), ("b.png", png(one)), ("c.bmp", bmp(one)), ("d.png", png(two)), ("e.png", png(near))):
         (folder / name).write_bytes(content)
+    (tmp_path / "secret.png").write_bytes(png(one))
+    (folder / "link.png").symlink_to(tmp_path / "secret.png")
     (tmp_path / "train.csv").write_text(head + "t1,a.png,P1,S1,L1,C,g\nt2,d.png,P2,S2,L2,C,h\nt3,missing.png,P3,S3,L3,D,g\n")
     (tmp_path / "test.csv").write_text(head + "e1,b.png,p1,S9,L9,C,g\ne2,c.bmp,P9,S2,L8,C,h\ne3,e.png,P8,S8,l3,E,h\ne4,../x.png,P7,S7,L7,E,h\n")
     (tmp_path / "map.json").write_text(json.dumps({"source_record_id": "record_uuid", "image_path": "image_name", "patient_id": "subject", "specimen_id": "specimen", "slide_id": "slide", "institution_id": "source_center", "class_label": "synthetic_group"}))
@@ -121,17 +211,42 @@ def test_audit(spark, manifests):
     assert got.exit_code == 2 and kinds == {"confirmed_patient_overlap": 1, "confirmed_specimen_overlap": 1, "confirmed_slide_overlap": 1, "institution_overlap": 1, "confirmed_byte_content_duplicate": 1, "confirmed_pixel_content_duplicate": 1, "image_similarity_candidate": 1, "image_read_error": 2}
     assert sorted(p.name for p in (manifests / "out").iterdir()) == sorted(report.NAMES)
     assert len((manifests / "out" / "repair_proposal.csv").read_text().splitlines()) == 8
-    assert json.loads((manifests / "out" / "report.json").read_text())["summary"]["records"] == 7
+    assert json.loads((manifests / "out" / "report.json").read_text())["summary"]["train_records"] == 3
     assert len(audit.summary_lines(got)) > 10
+    summary = got.report["summary"]
+    assert (summary["train_records"], summary["test_records"], summary["patient_overlap_findings"], summary["image_input_quality_findings"], summary["policy_violations"], summary["moved_records"]) == (3, 4, 1, 2, 5, got.report["repair"]["metrics"]["records_moved"])
+    written = json.loads((manifests / "out" / "report.json").read_text())
+    assert [f["finding_id"] for f in written["findings"]] == sorted(r["finding_id"] for r in got.findings.collect())
+    with open(manifests / "out" / "findings.csv", newline="") as f:
+        rows = list(csv.DictReader(f))
+    assert tuple(rows[0]) == report.FINDING_COLUMNS and len(rows) == 9
+    by = {r["finding_type"]: r for r in rows}
+    patient = by["confirmed_patient_overlap"]
+    assert (patient["matched_field"], patient["matched_value"], patient["evidence_count"], patient["detector_name"], patient["partitions"]) == ("patient_id", "p1", "2", "identifier_overlap", "test;train")
+    assert by["confirmed_byte_content_duplicate"]["matched_value"] == "" and by["confirmed_byte_content_duplicate"]["matched_field"] == "image_path" and not patient["created_at"].startswith("2026-01-01T00")
+    proof = {(r["finding_id"], r["record_id"]): r for r in got.evidence.collect()}
+    assert len(proof) == sum(int(r["evidence_count"]) for r in rows) and {r["source_manifest_id"] for r in proof.values()} == {"manifest_train", "manifest_test"}
+    assert all(proof[by["confirmed_byte_content_duplicate"]["finding_id"], i]["byte_sha256"] for i in by["confirmed_byte_content_duplicate"]["record_ids"].split(";"))
+    with open(manifests / "out" / "repair_proposal.csv", newline="") as f:
+        rows = list(csv.DictReader(f))
+    assert tuple(rows[0]) == report.REPAIR_COLUMNS and {r["proposal_statement"] for r in rows} == {"A proposal for review; no data were moved."}
+    tied = [r for r in rows if patient["finding_id"] in r["confirming_finding_ids"].split(";")]
+    assert set(patient["record_ids"].split(";")) <= {r["record_id"] for r in tied} and len({r["component_id"] for r in tied}) == 1
     with pytest.raises(ReportError):
         audit.run(spark, config)
     with pytest.raises(ConfigError):
         audit.Config("a", "a", "o")
 
 
+def test_links_out_of_the_root(spark, manifests):
+    rec = spark.createDataFrame([("a", "train", "m", 0, "link.png"), ("b", "test", "m", 1, "a.png")], "record_id string, partition string, manifest_id string, source_row_number int, image_path string")
+    got = {r["record_id"]: r for r in images.fingerprints(rec, str(manifests / "img")).collect()}
+    assert got["a"]["status"] == "outside_root" and got["a"]["byte_sha256"] is None and got["b"]["status"] == "resolved"
+
+
 def test_page_escapes():
-    r = {"status": "<x>", "exit_code": 0, "summary": {}, "findings": []}
-    assert "<x>" not in report.page(r)
+    r = {"status": "<x>", "exit_code": 0, "summary": {}}
+    assert "<x>" not in "".join(report.page(r, [dict.fromkeys(report.FINDING_COLUMNS, "<x>")]))
 
 
 def test_ci_options():
@@ -141,6 +256,25 @@ def test_ci_options():
         with pytest.raises(AuditError):
             cli.ci_options(bad)
     assert cli.main(["audit", "--train", "x", "--test", "x", "--output", "o"]) == 1
+    with pytest.raises(AuditError):
+        cli.step_output("a", "b\nc=d")
+    assert "<b>" not in cli._escaped("<b>|`x`") and "|" not in cli._escaped("a|b")
+
+
+def test_ci(spark, manifests, monkeypatch):
+    """Inputs from a file, outputs of the step, and the escaped summary."""
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    given = {"train": str(manifests / "train.csv"), "test": str(manifests / "test.csv"), "output": str(manifests / "o|ut"), "schema-map": str(manifests / "map.json"), "fail-on-violations": "false"}
+    (manifests / "in.json").write_text(json.dumps(given))
+    env = {"GITHUB_OUTPUT": str(manifests / "outputs"), "GITHUB_STEP_SUMMARY": str(manifests / "summary.md")}
+    assert cli.ci(env, str(manifests / "in.json")) == 0
+    said = dict(line.split("=", 1) for line in (manifests / "outputs").read_text().splitlines())
+    assert said["status"] == "violations" and said["exit-code"] == "2" and said["violation-count"] == "3" and said["repair-proposal-csv"] == "" and said["report-json"].endswith("report.json")
+    assert "o&#124;ut" in (manifests / "summary.md").read_text()
+    for bad in ("[]", "{", '{"train": 1}'):
+        (manifests / "bad.json").write_text(bad)
+        with pytest.raises(AuditError):
+            cli.ci_inputs(str(manifests / "bad.json"))
 
 
 def test_streaming(spark, tmp_path):
