@@ -14,6 +14,8 @@ occur; extra columns are ignored. A partition's pieces are kept for its next bat
 from __future__ import annotations
 
 import base64
+import os
+import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,15 +24,15 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Encoded pieces that a worker remembers; beyond, it begins anew.
-KEPT = 300_000
-#: What one worker's database takes at most.
-MEMORY = "250MB"
+KEPT = 200_000
+#: What one worker's database holds in memory at most; what a very long piece needs beyond goes to Spark's own scratch folder.
+MEMORY = "60MB"
 #: Pieces of more bytes contract all occurrences of a pair in a turn, where that is the same.
 LONG = 256
 #: Bytes of pieces that one recursive query takes at most, unless one piece has more; and its turns, after which the next one goes on.
-STEP_BYTES, TURNS = 1 << 17, 16
+STEP_BYTES, TURNS = 1 << 16, 16
 #: Tokens that one decoding query takes at most, unless one text has more; bytes of text that are cut at a time.
-DECODE_TOKENS, CHUNK = 500_000, 1 << 20
+DECODE_TOKENS, CHUNK = 200_000, 1 << 19
 #: Fixed value: the pattern whose matches ``Pieces`` finds.
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -49,18 +51,34 @@ def merges(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return left, right, token, np.array([t in early for t in token.tolist()])
 
 
+class Vocabulary:
+    """What the driver derives from ranks and pattern once, for all workers: merges, spellings and the characters' classes."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.merges = merges(ranks)
+        self.ids = np.fromiter(ranks.values(), np.int32)
+        self.tokens = list(ranks)
+        self.pieces = Pieces(pattern)
+
+
+def _scratch() -> str:
+    """Where this worker's Spark spills too; only this process reads what lies there, and it goes with the process."""
+    return os.path.join(os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")[0], f"duckdb-{os.getpid()}")
+
+
 class Codec:
     """Encodes and decodes in an own DuckDB database of bounded memory."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, vocabulary: Vocabulary):
         import duckdb
         import pyarrow as pa
 
-        self.pieces = Pieces(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
-        left, right, token, early = merges(ranks)
+        self.pieces = vocabulary.pieces
+        ranks = dict(zip(vocabulary.tokens, vocabulary.ids.tolist(), strict=True))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": _scratch()})
+        left, right, token, early = vocabulary.merges
         self.db.register("m", pa.table({"l": left, "r": right, "rank": 2 * token + early}))
-        self.db.register("v", pa.table({"id": np.fromiter(ranks.values(), np.int32), "hex": [t.hex() for t in ranks]}))
+        self.db.register("v", pa.table({"id": vocabulary.ids, "hex": [t.hex() for t in vocabulary.tokens]}))
         self.db.execute("CREATE TABLE merge_table AS SELECT l * 1048576 + r AS pair, rank::BIGINT AS rank FROM m; CREATE TABLE vocabulary AS SELECT id, hex FROM v; DROP VIEW m; DROP VIEW v")
         self.ranks = ranks
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
@@ -131,9 +149,10 @@ class Codec:
                     self.db.unregister("t")
                     done.append(got.filter(pc.invert(got["open"])).select(["piece", "pos", "token"]))
                     rows = got.filter(got["open"]).select(["piece", "pos", "token"])
-                got = pa.concat_tables(done).sort_by([("piece", "ascending"), ("pos", "ascending")]).to_pandas()
-                ends = np.cumsum(np.bincount(got["piece"], minlength=len(step)))
-                for j, x in zip(step, np.split(np.asarray(got["token"]), ends[:-1]), strict=True):
+                got = pa.concat_tables(done)
+                piece, pos = got["piece"].to_numpy(), got["pos"].to_numpy()
+                ends = np.cumsum(np.bincount(piece, minlength=len(step)))
+                for j, x in zip(step, np.split(got["token"].to_numpy()[np.lexsort((pos, piece))], ends[:-1]), strict=True):
                     ids[j] = x
                 step, size = [], 0
             if k is not None:
@@ -217,10 +236,12 @@ class Pieces:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def codec(ranks: dict[bytes, int], path: str, pattern: str) -> Codec:
+def codec(vocabulary: Vocabulary, path: str, pattern: str) -> Codec:
     """The worker's codec: tasks that run in one worker share what it remembers."""
     if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(ranks, pattern)
+        _codecs.clear()
+        C.trim_memory()
+        _codecs[path, pattern] = Codec(vocabulary)
     return _codecs[path, pattern]
 
 
@@ -268,14 +289,14 @@ def bpe(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", wit
     """Per document: id, n_tokens, ids, their digest, and the digest of the bytes that decoding the ids gives."""
     spark = docs.sparkSession
     C.bounded_batches(spark)
-    ranks = spark.sparkContext.broadcast(load_ranks(path))
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(load_ranks(path), pattern))
 
     def rows(batches):
         import hashlib
 
         import pyarrow as pa
 
-        own = codec(ranks.value, path, pattern)
+        own = codec(vocabulary.value, path, pattern)
         for batch in batches:
             ids = own.encode(batch.column(1))
             back = own.decode(ids)
@@ -291,6 +312,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", wit
                 columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        C.trim_memory()
 
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -32,6 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one is set only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "/tmp/checkpoints/parttrace"
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -113,5 +113,6 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataF
                 known.clear()
             n = [counts(automaton.value, batch.column(1).slice(k, 256), known) for k in range(0, len(batch), 256)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], [id_column, "n_tokens"])
+        C.trim_memory()
 
     return docs.select(id_column, F.col("text").cast("string")).mapInArrow(rows, f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, n_tokens long")

@@ -345,6 +345,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", na
         for batch in batches:
             score = np.zeros(len(batch)) if net.value is None else np.concatenate([net.value.scores(batch.column(1).slice(k, 256)) for k in range(0, max(1, len(batch)), 256)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], [id_column, "score", "predicted"])
+        C.trim_memory()
 
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, F.col("text").cast("string")).mapInArrow(rows, f"`{id_column}` {kind}, score double, predicted int")
