@@ -51,6 +51,66 @@ def test_word_hashes():
     assert len(set(flat)) == len(set(h.tolist())) and all((h[i] == h[j]) == (flat[i] == flat[j]) for i in range(len(h)) for j in range(len(h)))
 
 
+def twins(n=1024):
+    """Two words of n letters whose polynomials modulo a power of two agree."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_no_collisions(spark):
+    """Such words are different words to all that tells words apart."""
+    import public_tokenizers as P
+    import tiktoken
+
+    from parttrace.llm.bpe import Codec, Vocabulary, load_ranks
+    from parttrace.llm.ngram_join import ngram_jaccard
+    from parttrace.llm.token_counts import MARK, Automaton, counts
+
+    one, two = twins()
+    h, _ = C.word_hashes(pa.array([f"{one} {two} {one}"]))
+    assert h[0] == h[2] != h[1]
+    ranks = load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [f"{one} {two}", two, one]
+    assert [x.tolist() for x in Codec(Vocabulary(ranks, P.PATTERN)).encode(pa.array(texts))] == [encoding.encode_ordinary(t) for t in texts]
+    assert counts(Automaton([MARK, "a", "b", MARK + "a", "ab"]), pa.array([one, two]), {}).tolist() == [Automaton([MARK, "a", "b", MARK + "a", "ab"]).count(w) for w in (one, two)]
+    got = ngram_jaccard(frame(spark, [(1, one, "s"), (2, two, "s"), (3, one, "s")]), n=3, percent=90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_distinct_spans(monkeypatch):
+    """Spans that share a hash are still told apart."""
+    raw = np.frombuffer(b"abc abd abc xyzxyzxyzxyz xyzxyzxyzxyw abc", np.uint8)
+    start = np.array([0, 4, 8, 12, 25, 38])
+    end = np.array([3, 7, 11, 24, 37, 41])
+    wanted = [raw[a:b].tobytes() for a, b in zip(start, end, strict=True)]
+    for _ in range(2):
+        spans, number = C.distinct_spans(raw, start, end)
+        assert [spans[k] for k in number] == wanted
+        monkeypatch.setattr(C, "span_hashes", lambda raw, start, end: np.zeros(len(start), np.uint64))
+
+
+def test_ngram_join_sizes(spark):
+    """Sets whose parities have different lengths, and no rows at all."""
+    from parttrace.llm.ngram_join import ngram_jaccard
+
+    rnd = random.Random(31)
+    rows = []
+    for base in (120, 127, 250, 515, 1020):
+        w = [f"w{rnd.randint(0, 10**6)}" for _ in range(base)]
+        for k in range(6):
+            rows.append((len(rows), " ".join(w + [f"x{rnd.randint(0, 10**6)}" for _ in range(3 * k)]), "s"))
+    sets = shingle_sets(rows, 3)
+    links = [(a, b) for a in sets for b in sets if b < a and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard(frame(spark, rows), n=3, percent=90).collect()}
+    assert got == union_find(sorted(sets), links) and links
+    assert ngram_jaccard(frame(spark, [])).count() == 0 and ngram_jaccard(frame(spark, [(None, None, None), (1, "", "s")])).count() == 2
+    null = ngram_jaccard(frame(spark, [(None, rows[0][1], "s"), (5, rows[0][1], "s"), (None, "else", "s")])).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in null) == [("5", "5"), ("None", "5"), ("None", "None")]
+
+
 def shingle_sets(rows, n):
     out = {}
     for i, t, _ in rows:
@@ -234,6 +294,80 @@ def test_html(spark):
     assert len(got) == 4 and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+SENTENCES = "The first sentence of the article is here, plain and long. The second one follows it now. The third one ends the matter."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>x</title><body><article><p>{}</p></article>",  # a head that isn't closed
+        '<article class="overflow-hidden"><p>{}</p></article>',
+        '<body><div class="content has-sidebar"><p>{}</p></div>',
+        '<div class="form-text"><p>{}</p></div>',
+        '<div class="post category-tags"><p>{}</p></div>',
+        "<article><button>Menu<p>{}</p></article>",  # a button that isn't closed
+        '<article><p class="a>{}</p><p id="b"></p></article>',  # a quote that isn't closed
+        '<article><p>{}</p><div class="ad"><p>{}</p></div><p hidden>{}</p><p style="display: none">{}</p></article>',
+        '<div class="notice"><p>{0}</p></div><main><p>{0}</p></main><section class="reader-comments"><article class="comment"><p>{0}</p><p>{0}</p></article></section>',
+        '<form id="aspnet"><div><nav><a href="/">Home</a></nav><h1></h1><p>{}</p></div></form>' + "<footer>{}</footer>",
+    ],
+)
+def test_html_keeps_articles(page):
+    from parttrace.llm.html_extract import main_text
+
+    assert main_text(page.replace("{0}", SENTENCES).replace("{}", SENTENCES)) == SENTENCES
+
+
+def test_html_math_and_long_pages():
+    from parttrace.llm.html_extract import main_text
+
+    assert main_text(f"<article><p>{SENTENCES} So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == f"{SENTENCES} So x=2 holds."
+    assert main_text("<div>" * 5000 + f"<p>{SENTENCES}</p>") == SENTENCES
+    many = "".join(f"<div><p>{SENTENCES} {k}</p></div>" for k in range(20_000))
+    assert main_text(f"<body><article>{many}</article>").count("\n") == 19_999
+
+
+def test_html_labels_come_from_the_cut():
+    """Blocks whose own cost says otherwise go with their neighbours, and rightly."""
+    from parttrace.llm import html_extract as H
+
+    rnd = random.Random(9)
+    differ = right = 0
+    for _ in range(60):
+        body, wanted = [], []
+        for _ in range(rnd.randint(4, 9)):
+            if rnd.random() < 0.35:
+                text = rnd.choice(["By A. Writer", "Part two", "See map", "London"])
+                body.append(f"<div>{text}</div>")
+            else:
+                text = " ".join(rnd.choice(["one", "longer", "words", "stand", "here"]) for _ in range(rnd.randint(14, 30))) + "."
+                body.append(f"<div>{text}</div>")
+            wanted.append(text)
+        if len(wanted[0]) < 20 or len(wanted[-1]) < 20:
+            continue
+        links = "".join(f"<li><a href='/{k}'>Topic {k}</a></li>" for k in range(6))
+        found = H.blocks(f"<body><div><ul>{links}</ul></div><div><div>{''.join(body)}</div></div><div>Copyright us</div></body>")
+        cost, label = H.costs(found), H.labelled(found)
+        good = [t in wanted for t, _, _ in found]
+        for c, y, g in zip(cost, label, good, strict=True):
+            differ += (c > 0) != y
+            right += (c > 0) != y and y == g
+        assert sum(y == g for y, g in zip(label, good, strict=True)) >= 0.9 * len(good)
+    assert differ > 10 and right > 0.9 * differ
+
+
+def test_html_fit():
+    """The regression learns from pages that say what their blocks are, and nothing else moves it."""
+    from parttrace.llm import html_extract as H
+
+    pages = [f"<nav><a href='/'>Go {k}</a></nav><article><p>{SENTENCES}</p><p>Short {k}.</p></article><footer>us {k}</footer>" for k in range(30)]
+    x, y = zip(*((H.looks(f), H._known(f)) for f in map(H.blocks, pages)), strict=True)
+    x, y = np.concatenate(x), np.concatenate(y)
+    w = H.fit(x[y >= 0], y[y >= 0])
+    assert ((x[y >= 0] @ w > 0) == y[y >= 0]).all() and w[2] < 0 < w[1]
+    assert (H.fit(x[y == 1], y[y == 1]) == H.START).all()
+
+
 def test_minimum_cut_is_minimal():
     from itertools import product
 
@@ -449,3 +583,176 @@ def test_running_and_numbered(spark):
     assert got == {(g, p): sum(v for h, q, v in rows if h == g and q < p) for g, p, _ in rows}
     got = {r["place"]: r["nr"] for r in C.numbered(df.repartition(7), "nr", F.col("place").desc()).collect()}
     assert got == {p: 499 - p for _, p, _ in rows}
+
+
+def test_embedding_index():
+    """Lists get deeper as labels grow, so that their average length stays bounded; near vectors still share one."""
+    from math import comb
+
+    from parttrace.llm import embed_dedup as E
+
+    rng = np.random.default_rng(8)
+    sample = rng.standard_normal((3000, 32))
+    points = E._spread(sample, 400, 0.93)
+    assert points.shape == (400, 32) and np.allclose((points**2).sum(1), 1)
+    near = sample + 0.15 * rng.standard_normal(sample.shape)
+    depths = []
+    for largest in (5_000, 100_000, 3_000_000, 10**8):
+        index = E.Index(0.93)
+        index.add(32, points, largest)
+        t, m = index.depth[32]
+        depths.append(t)
+        assert largest * comb(m, t) <= E.LIST * comb(400, t) or t == 3
+        order, keys, core = index.describe(32, sample)
+        assert order.shape == (3000, m) and keys.shape == (3000, comb(m, t)) and (np.sort(keys, 1) == np.sort(index.describe(32, 2.5 * sample)[1], 1)).all()
+        other = index.describe(32, near)[1]
+        cosine = (sample * near).sum(1) / np.linalg.norm(sample, axis=1) / np.linalg.norm(near, axis=1)
+        found = np.array([len(np.intersect1d(a, b)) > 0 for a, b in zip(keys, other, strict=True)])
+        assert found[cosine >= 0.93].mean() >= 0.9
+        inside = core >= 0
+        a, b = sample[inside][:200], core[inside][:200]
+        a = a / np.linalg.norm(a, axis=1, keepdims=True)
+        assert ((a @ a.T)[b[:, None] == b] >= 0.93).all()  # all of a core link with each other
+    assert depths == sorted(depths) and depths[0] == 1 and depths[-1] == 3
+
+
+def test_embedding_depths_agree(spark, monkeypatch):
+    """Deeper lists, and blocks with cores of their own, count the same links."""
+    from parttrace.llm import embed_dedup as E
+
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((900, 48)) / 7
+    x[:300] = x[0] + 0.08 * rng.standard_normal((300, 48)) / 7
+    x[300:600] = x[600:] + 0.15 * rng.standard_normal((300, 48)) / 7
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(None, x[5].tolist(), 0), (5, x[5].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    plain = {(r["vec_id"], r["n_links"], r["component_id"]) for r in E.near_duplicates(df).collect()}
+    monkeypatch.setattr(E, "BLOCK", 64)
+    monkeypatch.setattr(E, "PER", 4)
+    for depths in (((1, 4),), ((2, 6),)):
+        monkeypatch.setattr(E, "DEPTHS", depths)
+        assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in E.near_duplicates(df).collect()} == plain
+
+
+def test_digest_index_persists(spark, tmp_path):
+    """A second object of that name finds the first one's digests; batches and compaction change nothing."""
+    from parttrace.llm import exact_dedup as X
+
+    texts = sentences(3, 60, vocabulary=6, low=1, high=3)
+    rows = [(k * 7 % 61, t, "s") for k, t in enumerate(texts)] + [(None, texts[0], "s"), (None, "alone", "s"), (3, texts[1], "s")]
+    plain = lambda df: sorted(map(str, df.collect()))
+    one = X.DigestIndex(spark, "first_index", 4, str(tmp_path))
+    wanted = plain(one.add(frame(spark, rows)))
+    two = X.DigestIndex(spark, "second_index", 4, str(tmp_path))
+    assert plain(two.add(frame(spark, rows), batches=3)) == wanted
+    size = two.table().count()
+    spark.sql("DROP TABLE second_index")  # as a new session: only the files are left
+    again = X.DigestIndex(spark, "second_index", 4, str(tmp_path))
+    assert again.table().count() == size and plain(again.add(frame(spark, rows), batches=2)) == wanted and again.table().count() == size
+    again.add(frame(spark, [(k, f"new {k}", "s") for k in range(100, 140)]), batches=4)
+    again.compact()
+    files = again.table().inputFiles()
+    assert again.version == 1 and len(files) <= 4 and again.table().count() == size + 40
+    (tmp_path / "second_index.index" / "v2").mkdir()  # a version that isn't whole doesn't count
+    third = X.DigestIndex(spark, "second_index", 4, str(tmp_path))
+    assert third.version == 1 and plain(third.add(frame(spark, rows))) == wanted
+    for index in (one, third):
+        index.drop()
+    assert not list(tmp_path.glob("*.index"))
+
+
+def test_fingerprint_of_files(spark, tmp_path):
+    from parttrace.llm.exact_dedup import fingerprint
+
+    frame(spark, [(1, "a", "s")]).write.parquet(str(tmp_path / "t"))
+    first = fingerprint(spark.read.parquet(str(tmp_path / "t")))
+    assert first == fingerprint(spark.read.parquet(str(tmp_path / "t")))
+    frame(spark, [(2, "b", "s")]).write.mode("append").parquet(str(tmp_path / "t"))
+    assert first != fingerprint(spark.read.parquet(str(tmp_path / "t")))
+
+
+def test_network_against_a_plain_loop():
+    """Forward scores of every window equal those of a loop over words and units."""
+    from math import exp, tanh
+
+    from parttrace.llm import toxicity as X
+
+    texts = ["a bad day, a BAD day!!", "some other words here " * 12, "x"]
+    words = X.Words(pa.array(texts))
+    net = X.Network(np.sort(words.hashes[::2]), 3)
+    net.shift = 0.25
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    _, x = net.inputs(words)
+    first = words.first.tolist()
+    sigmoid = lambda v: 1 / (1 + exp(-v))
+    H = X.HIDDEN
+
+    def run(seq, side):
+        W, U, c = p[f"W{side}"], p[f"U{side}"], p[f"c{side}"]
+        state, out = [0.0] * H, []
+        for v in seq:
+            g = v @ W + c
+            a = np.array(state) @ U[:, : 2 * H]
+            z = [sigmoid(g[k] + a[k]) for k in range(H)]
+            r = [sigmoid(g[H + k] + a[H + k]) for k in range(H)]
+            b = np.array([r[k] * state[k] for k in range(H)]) @ U[:, 2 * H :]
+            new = [tanh(g[2 * H + k] + b[k]) for k in range(H)]
+            state = [new[k] + z[k] * (state[k] - new[k]) for k in range(H)]
+            out.append(state)
+        return out
+
+    scores = []
+    for d in range(3):
+        own = words.index[first[d] : first[d + 1]]
+        starts = sorted({*range(0, max(1, len(own) - X.WINDOW + 1), X.STRIDE), max(0, len(own) - X.WINDOW)})
+        best = -1e9
+        for s in starts:
+            seq = [x[i].astype(float) for i in own[s : s + X.WINDOW]]
+            pad = [x[-1].astype(float)] * (X.WINDOW - len(seq))
+            fwd, bwd = run(seq, "f"), run((seq + pad)[::-1], "b")[::-1]
+            both = [np.array([*f, *b]) for f, b in zip(fwd, bwd, strict=False)]
+            weight = [exp(np.tanh(h @ p["A"] + p["a0"]) @ p["a"]) for h in both]
+            pooled = sum(w * h for w, h in zip(weight, both, strict=True)) / sum(weight)
+            best = max(best, float(pooled @ p["o"] + p["o0"][0]))
+        scores.append(1 / (1 + exp(-(best - net.shift))))
+    assert np.allclose(net.scores(pa.array(texts)), scores, atol=1e-5)
+
+
+def test_quality_against_a_plain_loop(monkeypatch):
+    """Features of long texts in pieces, and scores from the curves one by one."""
+    from parttrace.llm import quality as Q
+
+    texts = [*sentences(1, 30), "", None, "ALL CAPS!! " * 40, "é ü " * 500, "x" * 5000, "line\nline\n" * 30]
+    x = Q.features(pa.array(texts))
+    monkeypatch.setattr(Q, "PIECE", 97)
+    assert np.allclose(Q.features(pa.array(texts)), x)
+    for t, row in zip(texts, x, strict=True):
+        b = (t or "").encode()
+        for k, group in enumerate(Q._GROUPS):
+            assert abs(row[k] - sum(c in group for c in b) / max(1, len(b))) < 1e-12
+    good = np.array([k % 2 for k in range(len(texts))])
+    model = Q.Ranking(x, good)
+    for row, s in zip(x, model.scores(x), strict=True):
+        total = sum(model.weights[model.at[k] + sum(v >= c for c in model.cuts[k])] for k, v in enumerate(row))
+        assert abs(s - 1 / (1 + np.exp(-(total - model.threshold) / model.scale))) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["bpe", "html", "tokens", "toxicity", "quality", "mixing", "licenses", "embeddings"])
+def test_empty_tables(spark, name):
+    import public_tokenizers as P
+
+    from parttrace.llm import bpe, embed_dedup, html_extract, license_scan, mixing, quality, token_counts, toxicity
+
+    docs = frame(spark, [])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    made = {
+        "bpe": lambda: bpe.bpe(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
+        "html": lambda: html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")),
+        "tokens": lambda: token_counts.token_counts(docs, P.path("piece_bpe_32k.model")),
+        "toxicity": lambda: toxicity.toxicity(docs, none),
+        "quality": lambda: quality.quality(docs, none),
+        "mixing": lambda: mixing.mix(docs)[1],
+        "licenses": lambda: license_scan.scan(docs),
+        "embeddings": lambda: embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")),
+    }[name]()
+    assert made.count() == 0 and made.columns

@@ -72,6 +72,45 @@ def test_rows_without_or_with_repeated_ids(spark, tmp_path):
     assert mixed <= set(expected) and taken and ("None", rows[41][1]) in mixed
 
 
+def test_toxic_stage_against_the_network(spark):
+    """What goes is what the trained network itself scores at 1 / 2 or more, text by text."""
+    import pyarrow as pa
+
+    from parttrace.llm import toxicity as X
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    net = X.fitted(docs, spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic"))
+    rows = docs.select("doc_id", "text").collect()
+    stay = {r["doc_id"] for r in rows if net.scores(pa.array([r["text"]], pa.string()))[0] < 0.5}
+    assert {r["doc_id"] for r in P.remove_toxic(spark, docs, DATA).collect()} == stay and len(stay) < len(rows)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in P.STAGES[:-1]])
+def test_empty_and_odd_columns(spark, tmp_path, stage):
+    """Empty tables stay empty; columns called like the operators' own come through; null texts and sources are kept or mixed."""
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, n int, kept boolean, component_id long, size int, rep string"
+    empty = spark.createDataFrame([], schema)
+    assert stage(spark, empty, str(tmp_path)).count() == 0
+    rows = [(k, t, None, s, None, f"i{k}", 1, False, 5, 2, "r") for k, (t, s) in enumerate([("some words of a text " * 4, "a"), ("other words of one " * 4, None), (None, "a"), ("", None), ("b " * 3000, "b")])]
+    got = stage(spark, spark.createDataFrame(rows, schema), str(tmp_path))
+    assert got.columns == empty.columns
+    found = {r["doc_id"]: r for r in got.collect()}
+    # the mix takes what targets ask for, and no empty text; equal texts (here null and empty) are copies
+    whole = {"mix_sources": {0, 1, 4}, "remove_copies": {0, 1, 2, 4}}.get(stage.__name__, {0, 1, 2, 3, 4})
+    assert set(found) <= whole if stage is P.mix_sources else set(found) == whole
+    assert all(tuple(r) == rows[i] for i, r in found.items())
+
+
+def test_last_stage_on_odd_rows(spark):
+    import hashlib
+
+    docs = spark.createDataFrame([(1, None, "a", 1), (2, "", "b", 2), (None, "some words", "c", 3), (2, "some words", None, 4)], "doc_id long, text string, ids string, n_tokens int")
+    got = P.encode(spark, docs, "").collect()
+    assert sorted(r["n_tokens"] for r in got) == [0, 0, 2, 2] and {r["decoded_sha256"] for r in got} == {hashlib.sha256(b).hexdigest() for b in (b"", b"some words")}
+    assert P.encode(spark, docs.limit(0), "").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_sql(spark, name):
     db = duckdb.connect()
