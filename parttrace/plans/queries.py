@@ -33,9 +33,12 @@ def _shape(df: DataFrame) -> DataFrame:
     return df
 
 
-def order_records(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as records: patient o_custkey, institution n_name, label o_orderpriority."""
+def order_records(spark: SparkSession, d: str, institutions: bool = True) -> DataFrame:
+    """Orders as records: patient o_custkey, label o_orderpriority and, if asked for, institution n_name by two joins."""
     o, c, n = _table(spark, d, "orders"), _table(spark, d, "customer"), _table(spark, d, "nation")
+    if not institutions:
+        own = [F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("record_id"), _side(F.col("o_orderdate") < CUT), F.col("o_custkey").cast("string").alias("patient_id"), F.col("o_orderpriority").alias("label")]
+        return _shape(o.select(*own))
     df = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return _shape(df.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("record_id"), _side(F.col("o_orderdate") < CUT), F.col("o_custkey").cast("string").alias("patient_id"), T.identifier(F.col("n_name"), False).alias("institution_id"), F.col("o_orderpriority").alias("label")))
 
@@ -93,7 +96,7 @@ def _overlap_sql(source: str, field: str, kind: str, outcome: str, rule: str) ->
 
 @_query(_overlap_sql(_ORDERS, "patient_id", "confirmed_patient_overlap", "violation", "patient_disjoint"))
 def q_patient_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return _overlap(order_records(spark, d), "patient_id")
+    return _overlap(order_records(spark, d, False), "patient_id")
 
 
 @_query(_overlap_sql(_ORDERS, "institution_id", "institution_overlap", "allowed_overlap", "institution_disjoint"))
@@ -286,7 +289,7 @@ def q_repair_eligible(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH o AS ({_ORDERS}), g AS (SELECT patient_id FROM o GROUP BY patient_id {_BOTH}) SELECT a.record_id AS src, b.record_id AS dst, 'confirmed_patient_overlap' AS relationship_type, 'confirmed' AS confirmation_level FROM o a JOIN o b USING (patient_id) JOIN g USING (patient_id) WHERE a.record_id < b.record_id")
 def q_edges(spark: SparkSession, d: str) -> DataFrame:
-    found = detect.identifier_overlaps(order_records(spark, d), fields=("patient_id",))
+    found = detect.identifier_overlaps(order_records(spark, d, False), fields=("patient_id",))
     return graph.edges(found.findings, found.members).select("src", "dst", "relationship_type", "confirmation_level")
 
 
@@ -297,12 +300,12 @@ def q_edge_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"SELECT record_id, partition, label FROM ({_ORDERS})")
 def q_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.nodes(order_records(spark, d))
+    return graph.nodes(order_records(spark, d, False))
 
 
 def _linked(spark: SparkSession, d: str):
     """Orders tied by their patients."""
-    df = order_records(spark, d)
+    df = order_records(spark, d, False)
     found = detect.identifier_overlaps(df, fields=("patient_id",))
     return df, found, policy.evaluate(found.findings, policy.profile())
 
@@ -460,5 +463,5 @@ def q_conflict_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"SELECT 'confirmed_patient_overlap' AS finding_type, 'confirmed' AS confirmation_level, 'violation' AS policy_outcome, 'test;train' AS partitions, (SELECT string_agg(record_id, ';' ORDER BY record_id) FROM ({_ORDERS}) o WHERE o.patient_id = p.v) AS record_ids, v AS matched_value FROM ({_P}) p")
 def q_findings_csv(spark: SparkSession, d: str) -> DataFrame:
-    found = detect.identifier_overlaps(order_records(spark, d), fields=("patient_id",))
+    found = detect.identifier_overlaps(order_records(spark, d, False), fields=("patient_id",))
     return findings_rows(policy.evaluate(found.findings, policy.profile()), found.members).select("finding_type", "confirmation_level", "policy_outcome", "partitions", "record_ids", "matched_value")
