@@ -121,14 +121,14 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         both = edges.union(edges.select("b", "a")).toDF("id", "other")
         near = stored(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("p")), "near", 2 * left)
         up = near.toDF("p", "pp")
-        step = stored(near.join(up, "p", "left").select("id", F.coalesce("pp", "p").alias("p")), "step", 2 * left)
+        step = stored(near.join(up.hint("merge"), "p", "left").select("id", F.coalesce("pp", "p").alias("p")), "step", 2 * left)
         if labels is None:
             labels, first = step.toDF("id", "component"), 2 * left
         else:
             moved = step.toDF("component", "p")
-            labels = stored(labels.join(moved, "component", "left").select("id", F.coalesce("p", "component").alias("component")), "labels", first)
+            labels = stored(labels.join(moved.hint("merge"), "component", "left").select("id", F.coalesce("p", "component").alias("component")), "labels", first)
         a, b = step.toDF("a", "pa"), step.toDF("b", "pb")
-        merged = edges.join(a, "a").join(b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a != b").distinct()
+        merged = edges.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a != b").distinct()
         edges = stored(merged, "edges", left)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")) if labels is None else labels
 
