@@ -10,6 +10,7 @@ from ..functions import text as T
 # File endings of images, and words for a split.
 IMAGE_SUFFIXES = (".svs", ".tif", ".tiff", ".png", ".jpg", ".jpeg", ".dcm", ".ndpi", ".mrxs")
 SPLIT_VALUES = ("train", "training", "test", "testing", "val", "valid", "validation")
+# The forms of values that a column's flags name.
 PATTERNS = {
     "image_path_like": r"(?i)\.(svs|tiff?|png|jpe?g|dcm|ndpi|mrxs)\z",
     "uuid_like": r"(?i)\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z",

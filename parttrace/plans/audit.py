@@ -64,7 +64,8 @@ class Config:
             raise ConfigError(f"column overrides are of known fields and not blank: {sorted(unknown)}")
 
     def digest(self) -> str:
-        plain = {k: v.replace("\\", "/") if isinstance(v, str) else v for k, v in asdict(self).items()}
+        portable = lambda v: v.replace("\\", "/").rstrip("/") or "/"
+        plain = {k: portable(v) if k in ("train", "test", "output", "images", "schema_map") and v else v for k, v in asdict(self).items()}
         return hashlib.sha256(json.dumps(plain, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
