@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Encoded pieces that a worker remembers; beyond, it begins anew.
-KEPT = 200_000
+KEPT = 400_000
 #: What one worker's database holds in memory at most; what a very long piece needs beyond goes to Spark's own scratch folder.
-MEMORY = "60MB"
+MEMORY = "100MB"
 #: Pieces of more bytes contract all occurrences of a pair in a turn, where that is the same.
 LONG = 256
 #: Bytes of pieces that one recursive query takes at most, unless one piece has more; and its turns, after which the next one goes on.
-STEP_BYTES, TURNS = 1 << 16, 16
+STEP_BYTES, TURNS = 1 << 18, 16
 #: Tokens that one decoding query takes at most, unless one text has more; bytes of text that are cut at a time.
-DECODE_TOKENS, CHUNK = 200_000, 1 << 19
+DECODE_TOKENS, CHUNK = 200_000, 1 << 20
 #: Fixed value: the pattern whose matches ``Pieces`` finds.
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -290,6 +290,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", wit
     spark = docs.sparkSession
     C.bounded_batches(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(load_ranks(path), pattern))
+    C.trim_memory()
 
     def rows(batches):
         import hashlib

@@ -18,6 +18,11 @@ FILTER_BITS = 1 << 24
 HASH_BITS = 1 << 28
 
 
+#: Tables that are written between two rounds of the driver's garbage collection.
+RELEASE = 6
+_written = [0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,6 +57,9 @@ def stored(df: DataFrame, name: str, rows: int | None = None, each: int = 100_00
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     (df if rows is None else df.coalesce(1 + rows // each)).write.parquet(path)
+    _written[0] += 1
+    if _written[0] % RELEASE == 0:
+        release(spark)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,7 +73,10 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver drop shuffle files that no plan refers to any more; it does so when its JVM collects garbage."""
+    """Let the driver drop shuffle files, broadcasts and generated classes that no plan refers to any more.
+
+    It does so only when its JVM collects garbage, which it may not for long: its own memory hardly shows what executors hold.
+    """
     spark.sparkContext._jvm.System.gc()
 
 

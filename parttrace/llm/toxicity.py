@@ -329,7 +329,10 @@ def fitted(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id") -> N
         return None
     texts = [r["text"] for r in got]
     got.clear()
-    return train(texts, toxic)
+    net = train(texts, toxic)
+    del texts
+    C.trim_memory()
+    return net
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", named_by: str | None = None) -> DataFrame:
