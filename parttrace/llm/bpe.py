@@ -30,7 +30,7 @@ MEMORY = "100MB"
 #: Pieces of more bytes contract all occurrences of a pair in a turn, where that is the same.
 LONG = 256
 #: Bytes of pieces that one recursive query takes at most, unless one piece has more; and its turns, after which the next one goes on.
-STEP_BYTES, TURNS = 1 << 18, 16
+STEP_BYTES, TURNS = 1 << 17, 16
 #: Tokens that one decoding query takes at most, unless one text has more; bytes of text that are cut at a time.
 DECODE_TOKENS, CHUNK = 200_000, 1 << 20
 #: Fixed value: the pattern whose matches ``Pieces`` finds.
@@ -289,6 +289,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", wit
     """Per document: id, n_tokens, ids, their digest, and the digest of the bytes that decoding the ids gives."""
     spark = docs.sparkSession
     C.bounded_batches(spark)
+    C.relax(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(load_ranks(path), pattern))
     C.trim_memory()
 

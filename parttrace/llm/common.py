@@ -80,6 +80,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def relax(spark: SparkSession) -> None:
+    """Let executors collect garbage, as many tasks as they have cores: what their heaps took for shuffles before goes back to
+    the machine before Python workers need it."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def id_filter(ids: DataFrame) -> DataFrame:
     """Of a one-column frame of ids, a table of bitmaps (512 rows, 2 MB at most) over the hashed ids."""
     h = F.pmod(F.xxhash64(ids[ids.columns[0]]), F.lit(FILTER_BITS)) + 1

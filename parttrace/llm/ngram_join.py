@@ -231,6 +231,7 @@ def ngram_jaccard(docs: DataFrame, id_column: str = "doc_id", n: int = 5, percen
     """
     spark = docs.sparkSession
     C.bounded_batches(spark)
+    C.relax(spark)
     texts = docs.select(id_column, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     described = C.stored(describe(texts, id_column, n, percent), "sets")
     documents = described.count()

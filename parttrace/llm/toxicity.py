@@ -339,6 +339,7 @@ def toxicity(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", na
     """Per document: id (or the column ``named_by``), score (0 to 1), predicted (1 if score >= 0.5, else 0)."""
     spark = docs.sparkSession
     C.bounded_batches(spark)
+    C.relax(spark)
     net = spark.sparkContext.broadcast(fitted(docs, labelled, id_column))
     id_column = named_by or id_column
 
