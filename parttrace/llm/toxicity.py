@@ -329,6 +329,7 @@ def fitted(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id") -> N
         return None
     texts = [r["text"] for r in got]
     got.clear()
+    C.release(docs.sparkSession)  # the driver's JVM shrinks before training grows
     net = train(texts, toxic)
     del texts
     C.trim_memory()
