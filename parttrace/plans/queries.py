@@ -137,7 +137,7 @@ def q_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(_NEAR + "16")
 def q_similar_pairs_banded(spark: SparkSession, d: str) -> DataFrame:
-    return detect.similar(embedding_prints(spark, d), 16, 12, max_pairs=0).select("left_id", "right_id", "phash_distance")
+    return detect.similar(embedding_prints(spark, d), 16, 64, max_pairs=0).select("left_id", "right_id", "phash_distance")
 
 
 @_query("SELECT count(*) FILTER (vec_id % 5 <> 0) AS n_train, count(*) FILTER (vec_id % 5 = 0) AS n_test, n_train * n_test AS pairs, n_train * n_test > 100000 AS limit_exceeded FROM embeddings")
