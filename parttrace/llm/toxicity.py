@@ -58,28 +58,35 @@ class Words:
         # each distinct word between boundary bytes
         n = end[one] - start[one] + 2
         stop = np.cumsum(n)
-        body = np.repeat(start[one] - (stop - n) - 1, n) + np.arange(n.sum())
+        body = np.repeat((start[one] - (stop - n) - 1).astype(np.int32), n)
+        body += np.arange(len(body), dtype=np.int32)
         edge = np.zeros(len(body), bool)
         edge[stop - n] = edge[stop - 1] = True
         body[edge] = 0
-        letters = folded[body].astype(np.uint32) if len(raw) else np.zeros(0, np.uint32)
+        letters = folded[body] if len(raw) else np.zeros(0, np.uint8)
         letters[edge] = 1
+        letters = letters.astype(np.uint32)
+        del body, edge
         code, owner = [], []
-        word = np.repeat(np.arange(len(n)), n)
-        if len(body):
-            three = letters[:-2] * np.uint32(0x9E3779B1) ^ letters[1:-1] * np.uint32(0x85EBCA6B) ^ letters[2:] * np.uint32(0xC2B2AE35)
+        word = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        if len(letters):
+            three = letters[:-2] * np.uint32(0x9E3779B1)
+            three ^= letters[1:-1] * np.uint32(0x85EBCA6B)
+            three ^= letters[2:] * np.uint32(0xC2B2AE35)
             keep = word[:-2] == word[2:]
             code.append(three[keep])
             owner.append(word[:-2][keep])
+            del three, keep
             # beginnings of words: the first PREFIXES bytes, hashed as they grow
             h = np.zeros(len(n), np.uint32)
             for k in range(1, max(PREFIXES) + 1):
-                some = np.flatnonzero(n - 2 >= k)
+                some = np.flatnonzero(n - 2 >= k).astype(np.int32)
                 h[some] = (h[some] ^ letters[stop[some] - n[some] + k]) * np.uint32(0x01000193) + np.uint32(k)
                 if k in PREFIXES:
                     code.append(h[some] * np.uint32(0x85EBCA6B) + np.uint32(k))
                     owner.append(some)
-        code, owner = np.concatenate([np.zeros(0, np.uint32), *code]), np.concatenate([np.zeros(0, np.int64), *owner])
+        del word, letters
+        code, owner = np.concatenate([np.zeros(0, np.uint32), *code]), np.concatenate([np.zeros(0, np.int32), *owner])
         code ^= code >> np.uint32(15)
         order = np.argsort(owner, kind="stable")
         self.grams = (code[order] * np.uint32(0x27D4EB2F) >> np.uint32(18)).astype(np.int32)
