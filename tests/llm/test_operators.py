@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parttrace.llm import common as C
@@ -737,6 +738,39 @@ def test_quality_against_a_plain_loop(monkeypatch):
         assert abs(s - 1 / (1 + np.exp(-(total - model.threshold) / model.scale))) < 1e-9
 
 
+def test_quality_learns_from_all_labels(spark):
+    """The poor texts are the last ones by hashed id, after 12,000 good ones."""
+    from parttrace.llm.quality import quality
+
+    ids = spark.range(12_600).select(F.col("id").alias("doc_id"), F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")).alias("place"))
+    rows = C.stored(ids.select("doc_id", (F.col("place") <= 12_000).cast("int").alias("quality")), "ranked", 12_600)
+    docs = rows.select("doc_id", F.when(F.col("quality") == 1, F.concat(F.lit("a plain sentence of number "), "doc_id")).otherwise(F.concat(F.lit("BUY NOW!! "), "doc_id", F.lit("$$"))).alias("text"))
+    wrong = quality(docs, rows).join(rows, "doc_id").where("predicted <> quality")
+    assert wrong.count() == 0
+
+
+def test_quality_fit_against_all_pairs(spark):
+    """Loss and gradient of every pair, values at ranks against a sort; rows on executors give what rows in memory do."""
+    from parttrace.llm import quality as Q
+
+    rng = np.random.default_rng(1)
+    steps, good, weights = rng.integers(0, 25, (Q.FEATURES, 300)).astype(np.uint8), (rng.random(300) < 0.7).astype(int), rng.normal(size=(Q.FEATURES, 25)) * 0.3
+    loss, raw = Q._Loss(Q._Held(steps, good), weights), weights[np.arange(Q.FEATURES)[:, None], steps].sum(0)
+    lead = raw[good == 0][None] - raw[good == 1][:, None]
+    away, grad = 1 / (1 + np.exp(-lead)), Q.RIDGE * weights
+    for k in range(Q.FEATURES):
+        grad[k] += (np.bincount(steps[k][good == 0], away.sum(0), 25) - np.bincount(steps[k][good == 1], away.sum(1), 25)) / away.size
+    assert abs(loss.value - np.logaddexp(0, lead).mean() - Q.RIDGE / 2 * (weights**2).sum()) < 1e-4 and np.abs(loss.gradient() - grad).max() < 1e-5
+    values, ranks = rng.normal(size=(3, 999)).round(1), np.array([0, 5, 500, 998])
+    assert (Q._at_ranks(Q._Held(values, good), lambda x: x, 3, ranks) == np.sort(values, 1)[:, ranks]).all()
+    texts = sentences(1, 150) + [t.upper() + "!!" if k % 4 else t for k, t in enumerate(sentences(2, 150))]
+    docs, labels = frame(spark, [(k, t, "s") for k, t in enumerate(texts)]), [int(k < 150) for k in range(300)]
+    told = spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int")
+    there, here = Q.fitted(Q._featured(docs, "doc_id").repartition(3), told), Q.Ranking(Q.features(pa.array(texts)).astype(np.float32), np.array(labels))
+    assert all((a == b).all() for a, b in zip(there.cuts, here.cuts, strict=True))
+    assert (there.weights == here.weights).all() and there.threshold == here.threshold and there.scale == here.scale
+
+
 @pytest.mark.parametrize("name", ["bpe", "html", "tokens", "toxicity", "quality", "mixing", "licenses", "embeddings"])
 def test_empty_tables(spark, name):
     import public_tokenizers as P
