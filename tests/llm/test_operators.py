@@ -749,10 +749,12 @@ def test_quality_learns_from_all_labels(spark):
     assert wrong.count() == 0
 
 
-def test_quality_fit_against_all_pairs(spark):
-    """Loss and gradient of every pair, values at ranks against a sort; rows on executors give what rows in memory do."""
+def test_quality_fit_against_all_pairs(spark, monkeypatch):
+    """Loss and gradient of every pair, values at ranks against a sort; rows of several tasks give what rows in memory do."""
     from parttrace.llm import quality as Q
 
+    monkeypatch.setattr(Q, "EACH", 40)
+
     rng = np.random.default_rng(1)
     steps, good, weights = rng.integers(0, 25, (Q.FEATURES, 300)).astype(np.uint8), (rng.random(300) < 0.7).astype(int), rng.normal(size=(Q.FEATURES, 25)) * 0.3
     loss, raw = Q._Loss(Q._Held(steps, good), weights), weights[np.arange(Q.FEATURES)[:, None], steps].sum(0)
